@@ -1,0 +1,5 @@
+"""Empty on purpose.
+
+Every capability this package covers is file-in / file-out batch work, so
+there is no stream to express.  See the README.
+"""

@@ -3,12 +3,12 @@
 A value is placed in a cell by its sign, binary exponent and the first bits of
 its mantissa.  That placement depends on the value alone, keeps the order of
 the values, and therefore gives the same answer in every branch of a plan and
-in every re-run of a lost task, without sampling.  Cell counts are tiny, so the
-rank at which each cell starts is known before any value is sorted; only the
-cells a question touches are then looked at value by value.
+in every re-run of a lost task, without sampling.  Counts per cell are tiny, so
+the rank at which each cell starts is known before any value is sorted; only
+the cells a question touches are then looked at value by value.
 
-    coarse cell: sign and exponent, about 4,200 possible
-    fine cell:   2 ** FINE_BITS parts of a coarse cell
+A column whose magnitudes span a factor of a million has about 20 exponents and
+hence 20 * 2 ** CELL_BITS = 82,000 cells, whatever its number of rows.
 """
 
 from __future__ import annotations
@@ -21,26 +21,17 @@ from pyspark.sql.window import Window
 
 from panelloom.session import cut_lineage
 
-FINE_BITS = 12
-_EXPONENT_SHIFT = 1100
-_COARSE_ZERO = 0
+CELL_BITS = 12
+# Doubles have exponents from -1074 to 1023; shifted, all of them are positive.
+_SHIFT = 1100
 
 
-def coarse_cell(value: Column) -> Column:
-    """Signed exponent cell: larger values never have a smaller cell."""
-    exponent = F.floor(F.log2(F.abs(value))).cast("int") + _EXPONENT_SHIFT
-    return (
-        F.when(value > 0, exponent)
-        .when(value < 0, -exponent)
-        .otherwise(F.lit(_COARSE_ZERO))
-    )
-
-
-def fine_cell(value: Column) -> Column:
-    """Position inside the coarse cell."""
+def cell_of(value: Column) -> Column:
+    """Cell number of a value: larger values never have a smaller cell."""
     exponent = F.floor(F.log2(F.abs(value)))
-    part = F.floor((F.abs(value) / F.pow(F.lit(2.0), exponent) - 1) * (1 << FINE_BITS)).cast("int")
-    return F.when(value > 0, part).when(value < 0, -part).otherwise(F.lit(0))
+    part = F.floor((F.abs(value) / F.pow(F.lit(2.0), exponent) - 1) * (1 << CELL_BITS))
+    cell = (exponent + _SHIFT) * (2 << CELL_BITS) + part
+    return F.when(value > 0, cell).when(value < 0, -cell).otherwise(F.lit(0)).cast("bigint")
 
 
 def melt(frame: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -52,33 +43,19 @@ def melt(frame: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     )
 
 
-def _cells(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return long.withColumns({"coarse": coarse_cell(F.col(value)), "fine": fine_cell(F.col(value))})
-
-
 def _cell_starts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of entries ahead of each fine cell.
+    """Number of entries ahead of each cell, and in total.
 
-    Both windows run over counts of cells: at most 2 ** FINE_BITS rows of one
-    coarse cell in the first, at most about 4,200 coarse cells in the second.
+    The windows run over counts, one row per occupied cell.
     """
-    ahead = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "coarse").orderBy("fine").rowsBetween(*ahead)
-    fine = counts.withColumn("before_fine", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    across = Window.partitionBy(*keys).orderBy("coarse").rowsBetween(*ahead)
-    coarse = (
-        counts.groupBy(*keys, "coarse")
-        .agg(F.sum("n").alias("n_coarse"))
-        .withColumn("before_coarse", F.coalesce(F.sum("n_coarse").over(across), F.lit(0)))
-        .withColumn("total", F.sum("n_coarse").over(Window.partitionBy(*keys)))
-    )
-    return fine.join(coarse, [*keys, "coarse"]).select(
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
         *keys,
-        "coarse",
-        "fine",
+        "cell",
         F.col("n").alias("n_cell"),
-        (F.col("before_fine") + F.col("before_coarse")).alias("before_cell"),
-        "total",
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_cell"),
+        F.sum("n").over(whole).alias("total"),
     )
 
 
@@ -97,29 +74,28 @@ def quantiles(
     is meant for a closed set of classes such as the band labels.
     """
     keys = [*by, "feature"]
-    cells = _cells(melt(frame, columns, by), keys, "value")
-    starts = _cell_starts(cells.groupBy(*keys, "coarse", "fine").agg(F.count("*").alias("n")), keys)
+    cells = melt(frame, columns, by).withColumn("cell", cell_of(F.col("value")))
+    starts = _cell_starts(cells.groupBy(*keys, "cell").agg(F.count("*").alias("n")), keys)
     wanted = F.array(*[F.lit(float(s)) for s in shares])
-    position = F.col("share") * (F.col("total") - 1)
     targets = (
         starts.withColumn("share", F.explode(wanted))
-        .withColumn("position", position)
+        .withColumn("position", F.col("share") * (F.col("total") - 1))
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
         .where(
             (F.col("rank") >= F.col("before_cell"))
             & (F.col("rank") < F.col("before_cell") + F.col("n_cell"))
         )
-        .select(*keys, "coarse", "fine", "before_cell", "share", "position", "rank")
+        .select(*keys, "cell", "before_cell", "share", "position", "rank")
     )
-    touched = targets.select(*keys, "coarse", "fine").distinct()
-    place = Window.partitionBy(*keys, "coarse", "fine").orderBy("value")
+    touched = targets.select(*keys, "cell").distinct()
+    place = Window.partitionBy(*keys, "cell").orderBy("value")
     values = (
-        cells.join(F.broadcast(touched), [*keys, "coarse", "fine"], "left_semi")
-        .groupBy(*keys, "coarse", "fine", "value")
+        cells.join(F.broadcast(touched), [*keys, "cell"], "left_semi")
+        .groupBy(*keys, "cell", "value")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    hit = values.join(targets, [*keys, "coarse", "fine"]).where(
+    hit = values.join(targets, [*keys, "cell"]).where(
         (F.col("rank") >= F.col("before_cell") + F.col("upto") - F.col("n"))
         & (F.col("rank") < F.col("before_cell") + F.col("upto"))
     )
@@ -142,14 +118,13 @@ def average_ranks(histogram: DataFrame, keys: Sequence[str], value: str = "value
     Ranks count from one and ties share their mean, so a value with ``b``
     entries ahead of it and ``n`` of its own has rank ``b + (n + 1) / 2``.
     """
-    cells = _cells(histogram, keys, value)
-    counts = cells.groupBy(*keys, "coarse", "fine").agg(F.sum("n").alias("n"))
-    starts = _cell_starts(counts, keys)
-    place = Window.partitionBy(*keys, "coarse", "fine").orderBy(value)
+    cells = histogram.withColumn("cell", cell_of(F.col(value)))
+    starts = _cell_starts(cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n")), keys)
+    place = Window.partitionBy(*keys, "cell").orderBy(value)
     before = F.coalesce(F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         cells.withColumn("before_value", before)
-        .join(starts, [*keys, "coarse", "fine"])
+        .join(starts, [*keys, "cell"])
         .select(
             *keys,
             value,

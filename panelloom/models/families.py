@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -85,13 +86,14 @@ def _logistic(params: dict, inputs: int, rows: float) -> Estimator:
         family="multinomial",
         standardization=False,
         regParam=1.0 / (params["C"] * rows),
-        maxIter=params.get("max_iter", 200),
+        maxIter=params.get("max_iter", 2000),
+        tol=1e-4,
     )
 
 
 def _svm(params: dict, inputs: int, rows: float) -> Estimator:
     machine = LinearSVC(
-        standardization=False, regParam=1.0 / (params["C"] * rows), maxIter=params.get("max_iter", 50)
+        standardization=False, regParam=1.0 / (params["C"] * rows), maxIter=params.get("max_iter", 200), tol=1e-3
     )
     one_vs_rest = OneVsRest(
         classifier=machine, featuresCol="features", labelCol="label_index", weightCol="weight", parallelism=3
@@ -137,7 +139,8 @@ def _perceptron(params: dict, inputs: int, rows: float) -> Estimator:
         featuresCol="features",
         labelCol="label_index",
         layers=[inputs, *params["hidden_layer_sizes"], len(CLASSES)],
-        maxIter=params.get("max_iter", 200),
+        maxIter=params.get("max_iter", 3000),
+        tol=1e-4,
         seed=SEED,
     )
 
@@ -209,8 +212,10 @@ def with_balanced_weight(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def preprocessing(features: Sequence[str], scaled: bool) -> Pipeline:
-    stages: list[Any] = [MedianImputer(inputCols=list(features))]
+def preprocessing(features: Sequence[str], scaled: bool, at_most: int | None = None) -> Pipeline:
+    imputer = MedianImputer(inputCols=list(features))
+    imputer.at_most = at_most
+    stages: list[Any] = [imputer]
     if scaled:
         stages.append(PopulationScaler(inputCols=list(features)))
     stages.append(VectorAssembler(inputCols=list(features), outputCol="features"))
@@ -219,9 +224,12 @@ def preprocessing(features: Sequence[str], scaled: bool) -> Pipeline:
 
 def fit(family: Family, params: dict, train: DataFrame, features: Sequence[str], rows: int) -> PipelineModel:
     """Preprocessing and classifier, both fitted on the given rows only."""
-    prep = preprocessing(features, family.scaled).fit(train)
-    ready = with_balanced_weight(prep.transform(train))
-    model = family.build(params, len(features), float(rows)).fit(ready)
+    prep = preprocessing(features, family.scaled, rows).fit(train)
+    ready = with_balanced_weight(prep.transform(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = family.build(params, len(features), float(rows)).fit(ready)
+    finally:
+        ready.unpersist()
     return PipelineModel(stages=[prep, model])
 
 

@@ -25,7 +25,11 @@ from panelloom.operators import split as splitting
 from panelloom.operators.compare import best_per_group, union_conditions, with_tuning
 from panelloom.spec import SEED, PanelSpec
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
+# Iterative fits run a job per step, so small training tables should not be
+# scattered: about this many rows per partition, never more partitions than
+# the table has already.
+ROWS_PER_PARTITION = 100_000
 RESULT_SCHEMA = "model string, cv_macro_f1 double, best_params string, n_candidates int"
 
 
@@ -43,6 +47,10 @@ def _modelling_rows(panel: DataFrame, spec: PanelSpec, features: Sequence[str])
     return rows.withColumn("row_id", F.concat_ws("|", *spec.key)).withColumnRenamed(spec.label, "label")
 
 
+def _sized(rows: DataFrame, total: int) -> DataFrame:
+    return rows.coalesce(max(1, -(-total // ROWS_PER_PARTITION)))
+
+
 def _score(model: Model, ready: DataFrame) -> float:
     predicted = families.with_label_text(model.transform(ready))
     return MacroF1Evaluator().evaluate(predicted)
@@ -70,16 +78,17 @@ def tune(
     rows = _modelling_rows(train, spec, features)
     assignment = splitting.group_kfold(train, spec, folds, seed).select(spec.subject, "fold")
     # One copy with folds serves every fit below.
-    base = rows.join(assignment, spec.subject).persist(level)
+    kept = rows.join(assignment, spec.subject).persist(level)
     try:
-        total = base.count()
+        total = kept.count()
+        base = _sized(kept, total)
         used = [r.fold for r in base.select("fold").distinct().orderBy("fold").collect()]
         scores: dict[tuple[str, int], list[float]] = {}
         searched = {name: f for name, f in chosen.items() if f.grid}
         for fold in used if searched else []:
             part, held = base.where(F.col("fold") != fold), base.where(F.col("fold") == fold)
             for scaled in sorted({f.scaled for f in searched.values()}):
-                prep = families.preprocessing(features, scaled).fit(part)
+                prep = families.preprocessing(features, scaled, total).fit(part)
                 ready = families.with_balanced_weight(prep.transform(part)).persist(level)
                 check = prep.transform(held).persist(level)
                 n = ready.count()
@@ -112,7 +121,7 @@ def tune(
 
         done = _parallel(list(chosen.items()), refit)
     finally:
-        base.unpersist()
+        kept.unpersist()
     tuning = train.sparkSession.createDataFrame([r for _, _, r in done], RESULT_SCHEMA)
     return Tuned({name: model for name, model, _ in done}, tuning)
 
@@ -129,7 +138,8 @@ def fit_predict(
     """One configuration fitted on train rows, applied to test rows, keys kept."""
     rows = _modelling_rows(train, spec, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = families.fit(family, params, rows, features, rows.count())
+        total = rows.count()
+        model = families.fit(family, params, _sized(rows, total), features, total)
     finally:
         rows.unpersist()
     return predict(model, test, spec, features)
@@ -148,7 +158,9 @@ def compare_models(
     scored = union_conditions(
         {name: predict(m, test, spec, features) for name, m in tuned.models.items()}, "model"
     )
-    return with_tuning(evaluate(scored, ["model"]), tuned.tuning, ["model"])
+    results = with_tuning(evaluate(scored, ["model"]), tuned.tuning, ["model"])
+    # One row per family: evaluated now, while the caller keeps its input cached.
+    return train.sparkSession.createDataFrame(results.collect(), results.schema)
 
 
 def best_against_baseline(results: DataFrame, baseline: str = "majority_baseline") -> DataFrame:
@@ -171,11 +183,19 @@ def compare_feature_sets(
     split: str = "split",
 ) -> DataFrame:
     """The model comparison once per named feature set, results stacked."""
-    train, test = splitting.split_parts(panel, split)
-    frames = {}
-    for name, features in conditions.items():
-        result = compare_models(train, test, spec, features, chosen, folds)
-        frames[name] = result.withColumn("n_features", F.lit(len(features)))
+    used = sorted({c for columns in conditions.values() for c in columns})
+    shared = panel.select(*spec.key, spec.label, split, *used).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = splitting.split_parts(shared, split)
+
+        def run(item: tuple[str, Sequence[str]]) -> tuple[str, DataFrame]:
+            name, features = item
+            result = compare_models(train, test, spec, features, chosen, folds)
+            return name, result.withColumn("n_features", F.lit(len(features)))
+
+        frames = dict(_parallel(list(conditions.items()), run))
+    finally:
+        shared.unpersist()
     return union_conditions(frames)
 
 
@@ -184,7 +204,7 @@ def best_per_condition(results: DataFrame) -> DataFrame:
 
 
 def leave_one_subject_out(
-    train: DataFrame, spec: PanelSpec, features: Sequence[str], family: Family, params: dict, max_fits: int = 1000
+    train: DataFrame, spec: PanelSpec, features: Sequence[str], family: Family, params: dict, max_fits: int = 10_000
 ) -> DataFrame:
     """One fit per training subject: (subject, n_rows, macro_f1).
 
@@ -195,18 +215,20 @@ def leave_one_subject_out(
     rows = _modelling_rows(train, spec, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = rows.count()
-        subjects = [r[0] for r in rows.select(spec.subject).distinct().limit(max_fits + 1).collect()]
-        if len(subjects) > max_fits:
+        base = _sized(rows, total)
+        counted = base.groupBy(spec.subject).agg(F.count("*").alias("n")).limit(max_fits + 1)
+        sizes = {r[0]: r.n for r in counted.collect()}
+        if len(sizes) > max_fits:
             raise ValueError(f"more than {max_fits} subjects to leave out")
 
         def run(subject: str) -> tuple[str, int, float]:
             own = F.col(spec.subject) == subject
-            held = rows.where(own)
-            n = held.count()
-            model = families.fit(family, params, rows.where(~own), features, total - n)
+            held = base.where(own)
+            n = sizes[subject]
+            model = families.fit(family, params, base.where(~own), features, total - n)
             return subject, n, _score(model, held)
 
-        scores = _parallel(sorted(subjects), run)
+        scores = _parallel(sorted(sizes), run)
     finally:
         rows.unpersist()
     return train.sparkSession.createDataFrame(scores, f"{spec.subject} string, n_rows bigint, macro_f1 double")

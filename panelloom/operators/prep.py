@@ -117,11 +117,17 @@ class _Columns(HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
 
 
 class MedianImputer(_Columns, Estimator):
-    """Exact medians; a column without any value is filled with zero."""
+    """Exact medians; a column without any value is filled with zero.
+
+    ``at_most`` is an upper bound of the rows, where one is known already.
+    """
+
+    at_most: int | None = None
 
     def _fit(self, dataset: DataFrame) -> "ColumnFill":
         features = self.getInputCols()
-        if dataset.count() <= DIRECT_MEDIAN_ROWS:
+        rows = self.at_most if self.at_most is not None else dataset.count()
+        if rows <= DIRECT_MEDIAN_ROWS:
             row = dataset.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).first()
         else:
             row = median_row(dataset, features).first()

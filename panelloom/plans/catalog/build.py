@@ -45,7 +45,6 @@ def scan_panel(spark, folder):
 def unix_to_day(spark, folder):
     """Unix seconds kept as text; one event type carries unreadable text."""
     events = src.table(spark, folder, "events")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
     text = F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(seconds)
     return events.select("event_id", scalars.unix_day(text).alias("day"))
@@ -57,7 +56,6 @@ def unix_to_day(spark, folder):
 )
 def lenient_date(spark, folder):
     """Timestamps in a different notation per event type, one of them unreadable."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     notations = {
         "view": "yyyy-MM-dd'T'HH:mm:ss'Z'",
         "click": "yyyy-MM-dd HH:mm:ss",

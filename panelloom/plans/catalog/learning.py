@@ -21,19 +21,19 @@ def short(name: str, **grid) -> Family:
 
 
 BASELINE = {"majority_baseline": families.FAMILIES["majority_baseline"]}
-LOGISTIC = short("logistic_regression", C=[0.1, 1.0], max_iter=[50])
-FOREST = short("random_forest", n_estimators=[20], max_depth=[5, 10])
-QUICK = {**BASELINE, "logistic_regression": LOGISTIC, "random_forest": FOREST}
+FOREST = short("random_forest", n_estimators=[20], max_depth=[3, 5])
+QUICK = {**BASELINE, "random_forest": short("random_forest", n_estimators=[20], max_depth=[5])}
 EVERY = {
     **QUICK,
-    "svm": short("svm", C=[1.0], kernel=["linear", "rbf"], max_iter=[20], width=[100]),
-    "knn": short("knn", n_neighbors=[5, 9]),
-    "gradient_boosting": short("gradient_boosting", n_estimators=[10], learning_rate=[0.1], max_depth=[2]),
-    "mlp": short("mlp", hidden_layer_sizes=[[32]], alpha=[0.001], max_iter=[50]),
+    "logistic_regression": short("logistic_regression", C=[1.0], max_iter=[30]),
+    "svm": short("svm", C=[1.0], kernel=["rbf"], max_iter=[10], width=[50]),
+    "knn": short("knn", n_neighbors=[5]),
+    "gradient_boosting": short("gradient_boosting", n_estimators=[5], learning_rate=[0.1], max_depth=[2]),
+    "mlp": short("mlp", hidden_layer_sizes=[[32]], alpha=[0.001], max_iter=[30]),
 }
 SINGLE = {
     "logistic_regression": {"C": 1.0},
-    "svm": {"C": 1.0, "kernel": "rbf", "max_iter": 20, "width": 100},
+    "svm": {"C": 1.0, "kernel": "rbf", "max_iter": 20, "width": 50},
     "random_forest": {"n_estimators": 100, "max_depth": 10},
     "gradient_boosting": {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 2},
     "mlp": {"hidden_layer_sizes": [64], "alpha": 0.001, "max_iter": 100},
@@ -67,7 +67,9 @@ def knn_panel(spark, folder):
 def feature_importance(spark, folder):
     train, _ = _parts(panels.split_panel(spark, folder))
     rows = families.with_label_index(train.select(*EVENTS.key, "label", *FEATURES), "label").persist()
-    model = families.fit(families.FAMILIES["random_forest"], SINGLE["random_forest"], rows, FEATURES, rows.count())
+    total = rows.count()
+    forest = families.FAMILIES["random_forest"]
+    model = families.fit(forest, SINGLE["random_forest"], rows, FEATURES, total)
     rows.unpersist()
     return families.feature_importance(model, FEATURES, train)
 
@@ -75,19 +77,19 @@ def feature_importance(spark, folder):
 @query("grid_search")
 def grid_search(spark, folder):
     train, _ = _parts(panels.split_panel(spark, folder))
-    return tuning.tune(train, EVENTS, FEATURES, QUICK, folds=5).tuning
+    return tuning.tune(train, EVENTS, FEATURES, {**BASELINE, "random_forest": FOREST}, folds=3).tuning
 
 
 @query("model_comparison")
 def model_comparison(spark, folder):
     train, test = _parts(panels.split_panel(spark, folder))
-    return tuning.best_against_baseline(tuning.compare_models(train, test, EVENTS, FEATURES, EVERY, folds=3))
+    return tuning.best_against_baseline(tuning.compare_models(train, test, EVENTS, FEATURES, EVERY, folds=2))
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, folder):
     panel = panels.split_panel(spark, folder)
-    return tuning.compare_feature_sets(panel, EVENTS, ablation_groups(EVENTS), QUICK, folds=3)
+    return tuning.compare_feature_sets(panel, EVENTS, ablation_groups(EVENTS), QUICK, folds=2)
 
 
 @query("temporal_ablation")
@@ -95,13 +97,13 @@ def temporal_ablation(spark, folder):
     panel = panels.temporal_panel(spark, folder)
     conditions = temporal_conditions(EVENTS)
     validate.require_temporal_design(panel, conditions, EVENTS)
-    return tuning.compare_feature_sets(panel, EVENTS, conditions, QUICK, folds=3)
+    return tuning.compare_feature_sets(panel, EVENTS, conditions, QUICK, folds=2)
 
 
 @query("deviation_ablation")
 def deviation_ablation(spark, folder):
     panel = panels.temporal_panel(spark, folder)
-    return tuning.compare_feature_sets(panel, EVENTS, deviation_conditions(EVENTS), QUICK, folds=3)
+    return tuning.compare_feature_sets(panel, EVENTS, deviation_conditions(EVENTS), QUICK, folds=2)
 
 
 @query("fixed_fit_predict")
@@ -128,7 +130,7 @@ def logo_eval(spark, folder):
     train, _ = _parts(panels.split_panel(spark, folder))
     scores = tuning.leave_one_subject_out(
         train, EVENTS, list(EVENTS.groups["hrv"] + EVENTS.groups["spo2"]),
-        families.FAMILIES["random_forest"], {"n_estimators": 10, "max_depth": 5},
+        families.FAMILIES["random_forest"], {"n_estimators": 5, "max_depth": 3},
     )
     return robustness.subject_score_summary(scores)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelloom.functions.scalars import rounded
+from panelloom.session import prepare
 from panelloom.spec import EVENTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(function(spark, folder), 6, float(NUDGE))
+            return rounded(function(prepare(spark), folder), 6, float(NUDGE))
 
         run.__name__ = name
         run.__doc__ = function.__doc__

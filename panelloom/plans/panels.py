@@ -13,7 +13,6 @@ from panelloom.spec import EVENTS, PanelSpec
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return src.event_readings(spark, folder)
 
 
@@ -74,7 +73,6 @@ def order_readings(spark: SparkSession, folder: str) -> DataFrame:
     Lines are joined to the order's customer and day on the order key; both
     sides are large, so the choice of join is left to Spark's statistics.
     """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     orders = src.table(spark, folder, "orders")
     owner = orders.select(
         F.col("o_orderkey").alias("l_orderkey"),

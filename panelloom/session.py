@@ -14,6 +14,8 @@ CORE_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every column triples the calls to the JVM.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -30,6 +32,14 @@ def get_session(
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the core settings to a session somebody else built."""
+    for key, value in CORE_SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session.
 

@@ -15,7 +15,7 @@ from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.models import families
@@ -56,9 +56,9 @@ def _score(model: Model, ready: DataFrame) -> float:
     return MacroF1Evaluator().evaluate(predicted)
 
 
-def _parallel(jobs: Sequence[Any], work: Any) -> list[Any]:
+def _parallel(spark: SparkSession, jobs: Sequence[Any], work: Any) -> list[Any]:
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(work), jobs))
+        return list(pool.map(inheritable_thread_target(spark)(work), jobs))
 
 
 def tune(
@@ -104,7 +104,7 @@ def tune(
                     model = family.build(params, len(features), float(n)).fit(ready)
                     return name, i, _score(model, check)
 
-                for name, i, score in _parallel(jobs, run):
+                for name, i, score in _parallel(train.sparkSession, jobs, run):
                     scores.setdefault((name, i), []).append(score)
                 ready.unpersist()
                 check.unpersist()
@@ -119,7 +119,7 @@ def tune(
             record = (name, means[best], json.dumps(candidates[best], sort_keys=True), len(candidates))
             return name, families.fit(family, candidates[best], base, features, total), record
 
-        done = _parallel(list(chosen.items()), refit)
+        done = _parallel(train.sparkSession, list(chosen.items()), refit)
     finally:
         kept.unpersist()
     tuning = train.sparkSession.createDataFrame([r for _, _, r in done], RESULT_SCHEMA)
@@ -193,7 +193,7 @@ def compare_feature_sets(
             result = compare_models(train, test, spec, features, chosen, folds)
             return name, result.withColumn("n_features", F.lit(len(features)))
 
-        frames = dict(_parallel(list(conditions.items()), run))
+        frames = dict(_parallel(panel.sparkSession, list(conditions.items()), run))
     finally:
         shared.unpersist()
     return union_conditions(frames)
@@ -228,7 +228,7 @@ def leave_one_subject_out(
             model = families.fit(family, params, base.where(~own), features, total - n)
             return subject, n, _score(model, held)
 
-        scores = _parallel(sorted(sizes), run)
+        scores = _parallel(train.sparkSession, sorted(sizes), run)
     finally:
         rows.unpersist()
     return train.sparkSession.createDataFrame(scores, f"{spec.subject} string, n_rows bigint, macro_f1 double")

@@ -78,7 +78,7 @@ def _greedy_plan(sizes: Sequence[tuple[int, int]], folds: int) -> list[tuple[int
     plan = []
     for size, subjects in sorted(sizes, reverse=True):
         first: list[int] = []
-        while len(first) < subjects and max(loads) - min(loads) > size:
+        while len(first) < subjects and max(loads) - min(loads) >= size:
             fold = loads.index(min(loads))
             loads[fold] += size
             first.append(fold)

@@ -44,7 +44,9 @@ _FOLDER = r"([^/]+)/[^/]+$"
 
 
 def schema_of(modality: str) -> T.StructType:
-    return T.StructType.fromDDL(FILE_SCHEMAS[modality])
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    pairs = [field.split() for field in FILE_SCHEMAS[modality].split(",")]
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])
 
 
 def value_columns(modality: str) -> list[str]:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -27,7 +27,10 @@ from panelloom.functions import ordering
 from panelloom.spec import SEED
 
 MAX_PIVOTS = 256
-BLOCK_ROWS = 2048
+# Query rows per block; training blocks are larger, since every training block
+# returns k rows for every query it meets.
+BLOCK_ROWS = 1024
+TRAIN_BLOCK_FACTOR = 8
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -40,6 +43,19 @@ def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_columns(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k smallest entries of each row, ties by column."""
+    if d.shape[1] > k:
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        rows, columns = np.nonzero(d <= limit)
+    else:
+        rows, columns = np.indices(d.shape).reshape(2, -1)
+    order = np.lexsort((columns, d[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    return rows[place < k], columns[place < k]
+
+
 @dataclass(frozen=True)
 class _Geometry:
     """What the driver keeps: a few numbers per pivot."""
@@ -154,11 +170,12 @@ def nearest_neighbours(
     training = _training_cells(train, vector, geometry)
     train_counts = {r["_cell"]: r["n"] for r in training.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
 
-    def blocks(counts: dict[int, int]) -> "F.Column":
-        pieces = [x for c, n in counts.items() for x in (F.lit(int(c)), F.lit(int(-(-n // block_rows))))]
+    def blocks(counts: dict[int, int], size: int) -> Column:
+        pieces = [x for c, n in counts.items() for x in (F.lit(int(c)), F.lit(int(-(-n // size))))]
         return F.create_map(*pieces)
 
-    query_blocks, train_blocks = blocks(query_counts), blocks(train_counts)
+    query_blocks = blocks(query_counts, block_rows)
+    train_blocks = blocks(train_counts, block_rows * TRAIN_BLOCK_FACTOR)
     extra = [F.col(carry).alias("carry")] if carry else []
     part = lambda column, cell, table: F.pmod(F.xxhash64(column), table[cell]).cast("int")
     # Each block meets every block of the other side in its group.
@@ -191,9 +208,7 @@ def nearest_neighbours(
         d = _distances(
             np.stack(queries["vector"].to_numpy()).astype(float), np.stack(candidates["vector"].to_numpy()).astype(float)
         )
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(d)), best.shape[1])
-        flat = best.ravel()
+        rows, flat = _nearest_columns(d, k)
         found = {
             "query": queries["query"].to_numpy()[rows],
             "neighbour": candidates["neighbour"].to_numpy()[flat],

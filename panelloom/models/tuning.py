@@ -29,7 +29,7 @@ PARALLEL_FITS = 8
 # Iterative fits run a job per step, so small training tables should not be
 # scattered: about this many rows per partition, never more partitions than
 # the table has already.
-ROWS_PER_PARTITION = 100_000
+ROWS_PER_PARTITION = 4_000
 RESULT_SCHEMA = "model string, cv_macro_f1 double, best_params string, n_candidates int"
 
 

@@ -21,9 +21,9 @@ from panelloom.plans.catalog.registry import (
     query,
 )
 from panelloom.sources import readings as src
-from panelloom.spec import EVENTS
+from panelloom.spec import BOOTSTRAP_DRAWS, EVENTS
 
-DRAWS = 200
+DRAWS = BOOTSTRAP_DRAWS
 
 
 def majority_label(train):

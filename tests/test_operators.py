@@ -42,6 +42,17 @@ def test_bands_apply_to_averages(spark):
     assert [r[0] for r in frame.select(scalars.band(F.col("x"))).collect()] == ["Low", "Medium", "Medium", "High", None]
 
 
+def test_small_scalars(spark):
+    frame = spark.createDataFrame([(1.0, 0.0, [2.0, 1.5])], "a double, b double, v array<double>")
+    row = frame.select(
+        scalars.percent(F.col("a"), F.col("b")).alias("p"),
+        scalars.join_values(F.array_sort("v")).alias("t"),
+        scalars.half_even(F.lit(2.5), 0).alias("h"),
+        scalars.number(F.lit("x")).alias("n"),
+    ).first()
+    assert (row.p, row.t, row.h, row.n) == (0.0, "1.5; 2.0", 2.0, None)
+
+
 READINGS = [
     ("a", D, "steps", None, None, None),
     ("a", D, "steps", None, None, None),
@@ -322,7 +333,7 @@ def test_neighbours_against_brute_force(spark):
     left = spark.createDataFrame(train, "id bigint, v array<double>, label string")
     right = spark.createDataFrame(test, "id bigint, v array<double>")
     got = {}
-    for r in knn.nearest_neighbours(left, right, 4, "id", "id", "v", "label", pivots=12, block_rows=32).collect():
+    for r in knn.nearest_neighbours(left, right, 4, "id", "id", "v", "label", pivots=12, block_rows=8).collect():
         got.setdefault(r.id, {})[r.place] = r.neighbour
     for i, v in test:
         order = sorted((sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, j) for j, w, _ in train)

@@ -73,6 +73,18 @@ def subject_availability(
     )
 
 
+def audit_summary(availability: DataFrame) -> DataFrame:
+    """One row over all subjects: sizes, complete days, complete folders."""
+    totals = availability.agg(
+        F.count("*").alias("subjects"),
+        F.sum(F.col("has_all_modalities").cast("bigint")).alias("subjects_with_all_modalities"),
+        F.sum("target_days").alias("target_days"),
+        F.sum("complete_target_days").alias("complete_target_days"),
+    )
+    share = percent(F.col("complete_target_days"), F.col("target_days"))
+    return totals.withColumn("complete_target_percent", share)
+
+
 def coverage_summary(coverage: DataFrame, subject: str) -> DataFrame:
     """Per kind: totals, mean of the subjects' percents, overall percent."""
     return (

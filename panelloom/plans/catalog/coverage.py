@@ -85,20 +85,40 @@ def complete_coverage(spark, folder):
 _FILES = "files AS (SELECT DISTINCT subject_id, modality FROM tagged)"
 
 
-@query(
-    "subject_availability",
-    f"""WITH {COVERAGE}, {_FILES},
+_AVAILABILITY = f"""{COVERAGE}, {_FILES},
 complete AS (SELECT subject_id, day FROM days GROUP BY 1, 2 HAVING count(DISTINCT modality) = 5),
 per_subject AS (
   SELECT subject_id, CAST(count(DISTINCT modality) = 5 AS INTEGER) AS has_all_modalities,
          (SELECT count(*) FROM target_days t WHERE t.subject_id = files.subject_id) AS target_days,
          (SELECT count(*) FROM complete c WHERE c.subject_id = files.subject_id) AS complete_target_days
-  FROM files GROUP BY subject_id)
+  FROM files GROUP BY subject_id)"""
+
+
+@query(
+    "subject_availability",
+    f"""WITH {_AVAILABILITY}
 SELECT *, CASE WHEN target_days = 0 THEN 0 ELSE complete_target_days * 100.0 / target_days END
           AS complete_target_percent FROM per_subject""",
     "complete_target_percent",
 )
 def subject_availability(spark, folder):
+    return _availability(spark, folder)
+
+
+@query(
+    "audit_summary",
+    f"""WITH {_AVAILABILITY}
+SELECT count(*) AS subjects, CAST(sum(has_all_modalities) AS BIGINT) AS subjects_with_all_modalities,
+       CAST(sum(target_days) AS BIGINT) AS target_days, CAST(sum(complete_target_days) AS BIGINT)
+       AS complete_target_days, sum(complete_target_days) * 100.0 / sum(target_days) AS complete_target_percent
+FROM per_subject""",
+    "complete_target_percent",
+)
+def audit_summary(spark, folder):
+    return coverage.audit_summary(_availability(spark, folder))
+
+
+def _availability(spark, folder):
     readings = panels.readings(spark, folder)
     files = readings.select("subject_id", "modality").distinct()
     return coverage.subject_availability(_flags(spark, folder), "subject_id", MODALITIES, WEARABLES, "target", files)

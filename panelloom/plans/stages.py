@@ -39,12 +39,11 @@ def raw_audit(spark: SparkSession, root: str, out: str, spec: PanelSpec = WEARAB
     tables.write_table(audit, f"{out}/modality_audit")
     tables.write_table(covered, f"{out}/target_coverage")
     tables.write_table(coverage.coverage_summary(covered, spec.subject), f"{out}/coverage_summary")
-    tables.write_table(
-        coverage.subject_availability(
-            flags, spec.subject, files.MODALITIES, files.WEARABLE_MODALITIES, TARGET[0], present
-        ),
-        f"{out}/availability",
+    available = coverage.subject_availability(
+        flags, spec.subject, files.MODALITIES, files.WEARABLE_MODALITIES, TARGET[0], present
     )
+    tables.write_table(available, f"{out}/availability")
+    tables.write_audit(long_metrics(coverage.audit_summary(available)), f"{out}/summary")
     tables.write_table(coverage.missing_files(audit), f"{out}/missing_files")
     answers = daily.target_rows(readings, spec, *TARGET)
     tables.write_audit(long_metrics(profile.target_audit(answers, spec)), f"{out}/target_audit")

@@ -113,6 +113,25 @@ def temporal_conditions(spec: PanelSpec) -> dict[str, list[str]]:
     }
 
 
+def cumulative_conditions(
+    spec: PanelSpec, sources: tuple[str, ...] = ("sleep_score", "total_steps", "avg_rmssd")
+) -> dict[str, list[str]]:
+    """The older temporal comparison, where each set contains the one before."""
+    sets = {"no_temporal": spec.features}
+    steps = {
+        "semester_week": ["semester_week"],
+        "calendar": ["day_of_week", "is_weekend"],
+        "lag_1": [f"{f}_lag1" for f in sources],
+        "rolling_3": [f"{f}_rolling3_mean" for f in sources],
+        "rolling_7": [f"{f}_rolling7_mean" for f in sources],
+    }
+    last = spec.features
+    for name, added in steps.items():
+        last = [*last, *added]
+        sets[name] = last
+    return sets
+
+
 def deviation_conditions(spec: PanelSpec) -> dict[str, list[str]]:
     base = spec.features
     return {

@@ -57,6 +57,7 @@ def test_data_stages(spark, root, tmp_path):
     available = {r.student_id: r for r in spark.read.parquet(f"{out}/audit/availability").collect()}
     assert (available["8"].has_all_modalities, available["8"].complete_target_days) == (0, 0)
     assert (available["1"].has_all_modalities, available["1"].complete_target_days) == (1, 10)
+    assert metrics(spark, f"{out}/audit/summary")["subjects_with_all_modalities"] == "7"
     built = metrics(spark, f"{out}/build/build_audit")
     assert built["rows"] == str(8 * 12 + 1) and built["surplus_rows"] == "1"
     panel = {(r.student_id, str(r.date)): r for r in spark.read.parquet(f"{out}/clean/panel").collect()}

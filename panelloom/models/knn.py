@@ -11,11 +11,13 @@ query, so the pairs themselves are never materialised.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,9 @@ from pyspark.sql.window import Window
 from panelloom.functions import ordering
 from panelloom.spec import SEED
 
+# Functions below run in Python workers, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_PIVOTS = 256
 # Query rows per block; training blocks are larger, since every training block
 # returns k rows for every query it meets.

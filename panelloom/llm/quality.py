@@ -38,8 +38,8 @@ from panelloom.llm.common import cut_lineage, held_out, identified, read
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PREDICT = 0.3
-STEPS = 25
-RIDGE = 1e-4
+STEPS = 16
+RIDGE = 1e-5
 BINS = 200  # of scores, for the prior
 LEAST_TAIL = 0.3  # of the positives, in the tails that estimate the prior
 
@@ -164,15 +164,22 @@ def _collect_sums(rows: DataFrame, weight: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def minimise(rows: DataFrame, prior: float, contrast: bool = False) -> np.ndarray:
-    """Weights of the non-negative risk.
+    """Weights of the least non-negative risk met on the way.
 
     With ``contrast`` the loss instead tells positives from all documents, each
     side with half the weight, for the estimate of the prior.
     """
     weight, penalty = np.zeros(FEATURES + 1), np.full(FEATURES + 1, RIDGE)
     penalty[0] = 1e-8
+    best, least = weight, math.inf
     for _ in range(STEPS):
         s = _collect_sums(rows, weight)
+        if contrast:
+            risk = s["loss_all"] + s["loss_pos"] - s["mean_pos"] @ weight
+        else:
+            risk = prior * (s["loss_pos"] - s["mean_pos"] @ weight) + max(0.0, s["loss_all"] - prior * s["loss_pos"])
+        if risk < least:
+            best, least = weight, risk
         if contrast:
             grad = 0.5 * s["grad_all"] + 0.5 * (s["grad_pos"] - s["mean_pos"]) + penalty * weight
             curve = 0.5 * s["curve_all"] + 0.5 * s["curve_pos"]
@@ -188,7 +195,7 @@ def minimise(rows: DataFrame, prior: float, contrast: bool = False) -> np.ndarra
         weight = weight - step * min(1.0, 4.0 / max(longest, 1e-12))
         if longest < 1e-3:
             break
-    return weight
+    return best
 
 
 def _histogram(weight: np.ndarray):

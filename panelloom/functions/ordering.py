@@ -8,7 +8,9 @@ the rank at which each cell starts is known before any value is sorted; only
 the cells a question touches are then looked at value by value.
 
 A column whose magnitudes span a factor of a million has about 20 exponents and
-hence 20 * 2 ** CELL_BITS = 82,000 cells, whatever its number of rows.
+hence 20 * 2 ** CELL_BITS = 82,000 cells, whatever its number of rows. A narrow
+column may fall into a single cell, so cells are divided again by the next
+INNER_BITS of the mantissa: no window sees more than 2 ** INNER_BITS counts.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql.window import Window
 from panelloom.session import cut_lineage
 
 CELL_BITS = 12
+INNER_BITS = 20
 # Doubles have exponents from -1074 to 1023; shifted, all of them are positive.
 _SHIFT = 1100
 
@@ -34,6 +37,37 @@ def cell_of(value: Column) -> Column:
     return F.when(value > 0, cell).when(value < 0, -cell).otherwise(F.lit(0)).cast("bigint")
 
 
+def inner_of(value: Column) -> Column:
+    """Place inside the cell by the next bits, ascending with the value."""
+    exponent = F.floor(F.log2(F.abs(value)))
+    scaled = (F.abs(value) / F.pow(F.lit(2.0), exponent) - 1) * (1 << CELL_BITS)
+    inner = F.floor((scaled - F.floor(scaled)) * (1 << INNER_BITS))
+    return F.when(value > 0, inner).when(value < 0, -inner).otherwise(F.lit(0)).cast("bigint")
+
+
+def _within_cells(histogram: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Add ``before``: entries of (keys..., cell) ahead of each distinct value.
+
+    Entries are summed per inner cell first, so that only values of one inner
+    cell meet in a window.
+    """
+    inner = histogram.withColumn("_inner", inner_of(F.col(value)))
+    ahead = Window.partitionBy(*keys, "cell").orderBy("_inner").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        inner.groupBy(*keys, "cell", "_inner")
+        .agg(F.sum("n").alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+        .drop("_n")
+    )
+    place = Window.partitionBy(*keys, "cell", "_inner").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        inner.withColumn("_place", F.coalesce(F.sum("n").over(place), F.lit(0)))
+        .join(starts, [*keys, "cell", "_inner"])
+        .withColumn("before", F.col("_start") + F.col("_place"))
+        .drop("_inner", "_start", "_place")
+    )
+
+
 def melt(frame: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form (by..., feature, value) of numeric columns, nulls left out."""
     return (
@@ -69,9 +103,8 @@ def quantiles(
 
     First pass: counts per cell, which combine map-side to a few thousand rows.
     Second pass: only values of the cells that hold a wanted rank, which for
-    each feature and share are at most two.  That set is broadcast: it has at
-    most ``2 * len(shares) * len(columns)`` rows per ``by`` group, and ``by``
-    is meant for a closed set of classes such as the band labels.
+    each feature and share are at most two. How that small set is joined is
+    left to Spark, which measures it.
     """
     keys = [*by, "feature"]
     cells = melt(frame, columns, by).withColumn("cell", cell_of(F.col("value")))
@@ -88,16 +121,14 @@ def quantiles(
         .select(*keys, "cell", "before_cell", "share", "position", "rank")
     )
     touched = targets.select(*keys, "cell").distinct()
-    place = Window.partitionBy(*keys, "cell").orderBy("value")
-    values = (
-        cells.join(F.broadcast(touched), [*keys, "cell"], "left_semi")
+    counted = (
+        cells.join(touched, [*keys, "cell"], "left_semi")
         .groupBy(*keys, "cell", "value")
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    hit = values.join(targets, [*keys, "cell"]).where(
-        (F.col("rank") >= F.col("before_cell") + F.col("upto") - F.col("n"))
-        & (F.col("rank") < F.col("before_cell") + F.col("upto"))
+    first = F.col("before_cell") + F.col("before")
+    hit = _within_cells(counted, keys).join(targets, [*keys, "cell"]).where(
+        (F.col("rank") >= first) & (F.col("rank") < first + F.col("n"))
     )
     # At most two hits per group: the values at the ranks around the position.
     fraction = F.max(F.col("position") - F.floor("position"))
@@ -120,16 +151,14 @@ def average_ranks(histogram: DataFrame, keys: Sequence[str], value: str = "value
     """
     cells = histogram.withColumn("cell", cell_of(F.col(value)))
     starts = _cell_starts(cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n")), keys)
-    place = Window.partitionBy(*keys, "cell").orderBy(value)
-    before = F.coalesce(F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
-        cells.withColumn("before_value", before)
+        _within_cells(cells, keys, value)
         .join(starts, [*keys, "cell"])
         .select(
             *keys,
             value,
             "n",
-            (F.col("before_cell") + F.col("before_value") + (F.col("n") + 1) / 2).alias("avg_rank"),
+            (F.col("before_cell") + F.col("before") + (F.col("n") + 1) / 2).alias("avg_rank"),
             "total",
         )
     )

@@ -10,17 +10,39 @@ from pyspark.sql import functions as F
 from panelloom.spec import LABELS, LOW_MAX, MEDIUM_MAX
 
 
+# Seconds that fit a 64-bit count of nanoseconds around 1970; others are not dates.
+UNIX_LIMIT = 9_223_372_036.0
+# Notations besides ISO 8601, month before day, tried in this order.
+NOTATIONS = (
+    "M/d/yyyy H:m[:s][.SSS]",
+    "M/d/yyyy h:m[:s] a",
+    "M/d/yyyy",
+    "yyyy/M/d H:m[:s]",
+    "yyyy/M/d",
+    "MMM d yyyy H:m[:s]",
+    "MMM d yyyy",
+    "MMM d, yyyy H:m[:s]",
+    "MMM d, yyyy",
+    "d MMM yyyy H:m[:s]",
+    "d MMM yyyy",
+    "yyyyMMdd HHmmss",
+)
+
+
 def unix_day(seconds: Column) -> Column:
-    """UTC date of unix seconds; unreadable values give null."""
-    whole = F.floor(seconds.try_cast("double") / 86400).try_cast("int")
+    """UTC date of unix seconds; unreadable and absurd values give null."""
+    value = seconds.try_cast("double")
+    whole = F.when(F.abs(value) <= UNIX_LIMIT, F.floor(value / 86400)).try_cast("int")
     return F.date_add(F.lit("1970-01-01").cast("date"), whole)
 
 
-def lenient_day(text: Column, patterns: Sequence[str] = ()) -> Column:
+def lenient_day(text: Column, patterns: Sequence[str] = NOTATIONS) -> Column:
     """UTC date of a timestamp in mixed notation; unreadable values give null."""
-    attempts = [F.try_to_timestamp(text)]
-    attempts += [F.try_to_timestamp(text, F.lit(p)) for p in patterns]
-    return F.to_date(F.coalesce(*attempts))
+    trimmed = F.trim(text)
+    digits = F.when(trimmed.rlike("^[0-9]{8}$"), F.try_to_timestamp(trimmed, F.lit("yyyyMMdd")))
+    attempts = [F.try_to_timestamp(trimmed)]
+    attempts += [F.try_to_timestamp(trimmed, F.lit(p)) for p in patterns]
+    return F.to_date(F.coalesce(digits, *attempts))
 
 
 def band(
@@ -41,8 +63,9 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Lenient conversion to double; unreadable values give null."""
-    return text.try_cast("double")
+    """Lenient conversion to double; unreadable values and NaN give null."""
+    value = text.try_cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def join_values(values: Column) -> Column:

@@ -99,11 +99,10 @@ def per_class(
     return counts.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
-def hardest_class(classes: DataFrame) -> DataFrame:
-    """The label with the lowest F1, the alphabetically first on a tie."""
-    return classes.agg(
-        F.min_by("label", F.struct("f1", "label")).alias("label"), F.min("f1").alias("f1")
-    )
+def hardest_class(classes: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The label with the lowest F1, the first in the order of the labels on a tie."""
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label"))
+    return classes.agg(F.min_by("label", F.struct(F.col("f1"), place)).alias("label"), F.min("f1").alias("f1"))
 
 
 def confusion_matrix(

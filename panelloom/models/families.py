@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from panelloom.models.knn import NearestNeighbourClassifier
 from panelloom.operators.prep import MedianImputer, PopulationScaler
+from panelloom.session import ensure_checkpoint_dir
 from panelloom.spec import LABELS, SEED
 
 CLASSES = sorted(LABELS)
@@ -150,10 +151,13 @@ class Family:
     build: Callable[[dict, int, float], Estimator]
     grid: dict[str, list[Any]] = field(default_factory=dict)
     scaled: bool = False
+    inert: tuple[str, ...] = ()
 
     def candidates(self) -> list[dict[str, Any]]:
-        names = sorted(self.grid)
-        return [dict(zip(names, values)) for values in itertools.product(*[self.grid[n] for n in names])]
+        """All settings of the grid, those that differ only in an inert parameter once."""
+        names = [n for n in sorted(self.grid) if n not in self.inert]
+        fixed = {n: self.grid[n][0] for n in self.inert if n in self.grid}
+        return [{**fixed, **dict(zip(names, v))} for v in itertools.product(*[self.grid[n] for n in names])]
 
 
 # The parameter grids of the comparison.
@@ -166,7 +170,7 @@ FAMILIES: dict[str, Family] = {
     "gradient_boosting": Family(
         _boosting, {"n_estimators": [100, 200], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]}
     ),
-    "mlp": Family(_perceptron, {"hidden_layer_sizes": [[32], [64], [32, 16]], "alpha": [0.0001, 0.001]}, True),
+    "mlp": Family(_perceptron, {"hidden_layer_sizes": [[32], [64], [32, 16]], "alpha": [0.0001, 0.001]}, True, ("alpha",)),
 }
 
 # Default settings of the older, untuned comparison.
@@ -212,10 +216,8 @@ def with_balanced_weight(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def preprocessing(features: Sequence[str], scaled: bool, at_most: int | None = None) -> Pipeline:
-    imputer = MedianImputer(inputCols=list(features))
-    imputer.at_most = at_most
-    stages: list[Any] = [imputer]
+def preprocessing(features: Sequence[str], scaled: bool) -> Pipeline:
+    stages: list[Any] = [MedianImputer(inputCols=list(features))]
     if scaled:
         stages.append(PopulationScaler(inputCols=list(features)))
     stages.append(VectorAssembler(inputCols=list(features), outputCol="features"))
@@ -224,7 +226,8 @@ def preprocessing(features: Sequence[str], scaled: bool, at_most: int | None = N
 
 def fit(family: Family, params: dict, train: DataFrame, features: Sequence[str], rows: int) -> PipelineModel:
     """Preprocessing and classifier, both fitted on the given rows only."""
-    prep = preprocessing(features, family.scaled, rows).fit(train)
+    ensure_checkpoint_dir(train.sparkSession)  # boosting cuts its lineage there
+    prep = preprocessing(features, family.scaled).fit(train)
     ready = with_balanced_weight(prep.transform(train)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = family.build(params, len(features), float(rows)).fit(ready)

@@ -11,6 +11,8 @@ import json
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -23,13 +25,10 @@ from panelloom.models.evaluate import MacroF1Evaluator, evaluate
 from panelloom.models.families import Family
 from panelloom.operators import split as splitting
 from panelloom.operators.compare import best_per_group, union_conditions, with_tuning
-from panelloom.spec import SEED, PanelSpec
+from panelloom.session import ensure_checkpoint_dir
+from panelloom.spec import LABELS, SEED, PanelSpec
 
 PARALLEL_FITS = 8
-# Iterative fits run a job per step, so small training tables should not be
-# scattered: about this many rows per partition, never more partitions than
-# the table has already.
-ROWS_PER_PARTITION = 4_000
 RESULT_SCHEMA = "model string, cv_macro_f1 double, best_params string, n_candidates int"
 
 
@@ -47,10 +46,6 @@ def _modelling_rows(panel: DataFrame, spec: PanelSpec, features: Sequence[str])
     return rows.withColumn("row_id", F.concat_ws("|", *spec.key)).withColumnRenamed(spec.label, "label")
 
 
-def _sized(rows: DataFrame, total: int) -> DataFrame:
-    return rows.coalesce(max(1, -(-total // ROWS_PER_PARTITION)))
-
-
 def _score(model: Model, ready: DataFrame) -> float:
     predicted = families.with_label_text(model.transform(ready))
     return MacroF1Evaluator().evaluate(predicted)
@@ -74,6 +69,7 @@ def tune(
     A family without a grid is only fitted and has no cross-validated score.
     """
     chosen = chosen or families.FAMILIES
+    ensure_checkpoint_dir(train.sparkSession)
     level = StorageLevel.MEMORY_AND_DISK
     rows = _modelling_rows(train, spec, features)
     assignment = splitting.group_kfold(train, spec, folds, seed).select(spec.subject, "fold")
@@ -81,14 +77,14 @@ def tune(
     kept = rows.join(assignment, spec.subject).persist(level)
     try:
         total = kept.count()
-        base = _sized(kept, total)
+        base = kept
         used = [r.fold for r in base.select("fold").distinct().orderBy("fold").collect()]
         scores: dict[tuple[str, int], list[float]] = {}
         searched = {name: f for name, f in chosen.items() if f.grid}
         for fold in used if searched else []:
             part, held = base.where(F.col("fold") != fold), base.where(F.col("fold") == fold)
             for scaled in sorted({f.scaled for f in searched.values()}):
-                prep = families.preprocessing(features, scaled, total).fit(part)
+                prep = families.preprocessing(features, scaled).fit(part)
                 ready = families.with_balanced_weight(prep.transform(part)).persist(level)
                 check = prep.transform(held).persist(level)
                 n = ready.count()
@@ -139,7 +135,7 @@ def fit_predict(
     rows = _modelling_rows(train, spec, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = rows.count()
-        model = families.fit(family, params, _sized(rows, total), features, total)
+        model = families.fit(family, params, rows, features, total)
     finally:
         rows.unpersist()
     return predict(model, test, spec, features)
@@ -167,7 +163,10 @@ def best_against_baseline(results: DataFrame, baseline: str = "majority_baseline
     """Results with their lead over the baseline and the hardest label of each."""
     reference = results.where(F.col("model") == baseline).agg(F.max("macro_f1")).scalar()
     by_label = F.array(
-        *[F.struct(F.col(f"{x.lower()}_f1").alias("f1"), F.lit(x).alias("label")) for x in families.CLASSES]
+        *[
+            F.struct(F.col(f"{x.lower()}_f1").alias("f1"), F.lit(i).alias("place"), F.lit(x).alias("label"))
+            for i, x in enumerate(LABELS)
+        ]
     )
     return results.withColumn("lead", F.col("macro_f1") - reference).withColumn(
         "hardest_label", F.array_min(by_label)["label"]
@@ -204,31 +203,34 @@ def best_per_condition(results: DataFrame) -> DataFrame:
 
 
 def leave_one_subject_out(
-    train: DataFrame, spec: PanelSpec, features: Sequence[str], family: Family, params: dict, max_fits: int = 10_000
+    train: DataFrame, spec: PanelSpec, features: Sequence[str], family: Family, params: dict
 ) -> DataFrame:
     """One fit per training subject: (subject, n_rows, macro_f1).
 
-    The number of fits equals the number of subjects, so more subjects than
-    ``max_fits`` is refused rather than cut short; folds of several subjects
-    (``group_kfold``) are the way to cover those.
+    The number of fits equals the number of subjects, as does the number of
+    rows returned. Subjects come to the driver a partition at a time, PARALLEL_FITS
+    of them are worked on at once, and every finished score goes to a table.
     """
     rows = _modelling_rows(train, spec, features).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = train.sparkSession
     try:
         total = rows.count()
-        base = _sized(rows, total)
-        counted = base.groupBy(spec.subject).agg(F.count("*").alias("n")).limit(max_fits + 1)
-        sizes = {r[0]: r.n for r in counted.collect()}
-        if len(sizes) > max_fits:
-            raise ValueError(f"more than {max_fits} subjects to leave out")
+        counted = rows.groupBy(spec.subject).agg(F.count("*").alias("n"))
 
-        def run(subject: str) -> tuple[str, int, float]:
+        def run(job: tuple[str, int]) -> tuple[str, int, float]:
+            subject, n = job
             own = F.col(spec.subject) == subject
-            held = base.where(own)
-            n = sizes[subject]
-            model = families.fit(family, params, base.where(~own), features, total - n)
-            return subject, n, _score(model, held)
-
-        scores = _parallel(train.sparkSession, sorted(sizes), run)
+            model = families.fit(family, params, rows.where(~own), features, total - n)
+            return subject, n, _score(model, rows.where(own))
+
+        parts, waiting = [], []
+        schema = f"{spec.subject} string, n_rows bigint, macro_f1 double"
+        for row in chain(counted.toLocalIterator(), [None]):
+            if row is not None:
+                waiting.append((row[0], row.n))
+            if waiting and (row is None or len(waiting) == PARALLEL_FITS):
+                parts.append(spark.createDataFrame(_parallel(spark, waiting, run), schema))
+                waiting = []
     finally:
         rows.unpersist()
-    return train.sparkSession.createDataFrame(scores, f"{spec.subject} string, n_rows bigint, macro_f1 double")
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)

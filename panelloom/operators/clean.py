@@ -12,10 +12,6 @@ from pyspark.sql import types as T
 from panelloom.functions import scalars
 from panelloom.spec import PanelSpec
 
-# Value lists of one key are shown as one text only up to this many distinct
-# values; ``repeated_values`` lists all of them, whatever their number.
-LIST_LIMIT = 1000
-
 
 def numeric_columns(frame: DataFrame, without: Sequence[str] = ()) -> list[str]:
     return [
@@ -51,8 +47,14 @@ def repeated_values(rows: DataFrame, key: Sequence[str], column: str) -> DataFra
     return counted.join(repeated, list(key), "left_semi")
 
 
-def duplicate_conflicts(rows: DataFrame, spec: PanelSpec, limit: int = LIST_LIMIT) -> DataFrame:
-    """Repeated keys with row count, value lists and whether values disagree."""
+def duplicate_conflicts(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Repeated keys with row count, value lists and whether values disagree.
+
+    A list shows every value as often as it occurs. It is put together from the
+    counted values, so a key's rows are combined before the shuffle and what
+    meets in a task is its distinct values; the text itself, the answer, grows
+    with the key's rows.
+    """
     key = spec.key
     labels = [
         F.max(F.when(F.col(spec.label) == name, F.lit(name))) for name in sorted(("Low", "Medium", "High"))
@@ -63,7 +65,6 @@ def duplicate_conflicts(rows: DataFrame, spec: PanelSpec, limit: int = LIST_LIMI
     conflict = (F.size(F.array_compact(known)) > 1) | (
         F.count(spec.target).between(1, F.count("*") - 1)
     )
-    short = F.when(F.count("*") <= limit, F.lit(True)).otherwise(False)
     profile = (
         with_key(rows, key)
         .groupBy(*key)
@@ -72,24 +73,23 @@ def duplicate_conflicts(rows: DataFrame, spec: PanelSpec, limit: int = LIST_LIMI
             F.concat_ws("; ", present).alias("label_values"),
             conflict.alias("value_conflict"),
             (F.size(present) > 1).alias("label_conflict"),
-            short.alias("_short"),
         )
         .where(F.col("n_rows") > 1)
     )
-    # Only keys short enough to be shown reach the list-building grouping.
-    listed = profile.where("_short").select(*key)
-    lists = (
-        rows.select(*key, spec.target, spec.secondary)
-        .join(listed, key, "left_semi")
-        .groupBy(*key)
-        .agg(
-            *[
-                scalars.join_values(F.array_sort(F.collect_list(c))).alias(f"{c}_values")
-                for c in (spec.target, spec.secondary)
-            ]
+    listed = profile
+    for column in (spec.target, spec.secondary):
+        counted = repeated_values(rows, key, column).where(F.col("value").isNotNull())
+        text = F.flatten(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("value", "n"))),
+                lambda v: F.array_repeat(v["value"].cast("string"), v["n"].cast("int")),
+            )
         )
-    )
-    return profile.drop("_short").join(lists, key, "left")
+        lists = counted.groupBy(*key).agg(F.array_join(text, "; ").alias(f"{column}_values"))
+        listed = listed.join(lists, list(key), "left").withColumn(
+            f"{column}_values", F.coalesce(f"{column}_values", F.lit(""))
+        )
+    return listed
 
 
 def duplicate_summary(rows: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -324,14 +324,22 @@ def histogram_fixed(panel: DataFrame, column: str, width: int = 5, stop: int = 1
 
 
 def histogram_equal_width(panel: DataFrame, features: Sequence[str], bins: int = 12) -> DataFrame:
-    """Right-closed bins over each feature's range, the minimum in the first."""
-    edges = panel.agg(
-        *[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in features]
-    )
+    """Right-closed bins over each feature's range, the minimum in the first.
+
+    A constant feature gets a range of 0.1 % of its value on both sides, or of
+    0.001 at zero.
+    """
+
+    def widened(f: str) -> Column:
+        low, high = F.min(f).cast("double"), F.max(f).cast("double")
+        pad = F.when(low == high, F.when(low == 0, 0.001).otherwise(F.abs(low) * 0.001)).otherwise(0.0)
+        return F.struct((low - pad).alias("lo"), (high + pad).alias("hi")).alias(f)
+
+    edges = panel.agg(*[widened(f) for f in features])
     edge = edges.select(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])).scalar()
-    place = F.ceil(
-        F.try_divide((F.col("value") - F.col("e.lo")) * bins, F.col("e.hi") - F.col("e.lo"))
-    ).cast("int")
+    # Rounded, so that a value on an edge stays on its left side.
+    share = F.try_divide((F.col("value") - F.col("e.lo")) * bins, F.col("e.hi") - F.col("e.lo"))
+    place = F.ceil(F.round(share, 9)).cast("int")
     counts = (
         ordering.melt(panel, features)
         .withColumn("e", edge[F.col("feature")])

@@ -116,14 +116,15 @@ def _by_blocks(
     return rows.withColumns(columns).where(~F.col("_borrowed")).drop("_block", "_borrowed", *carried)
 
 
-def past_only_violations(featured: DataFrame, spec: PanelSpec, features: Sequence[str]) -> DataFrame:
-    """Count rows whose stored past features differ from a recomputation.
+def past_only_violations_by_feature(featured: DataFrame, spec: PanelSpec, features: Sequence[str]) -> DataFrame:
+    """(feature, violations): rows whose stored past feature differs from a recomputation.
 
     Rows ahead of a subject's first observation have no past, so any value in
     their history columns is a leak as well.
     """
     past = _past(spec)
     kinds = [k for k in ALL_KINDS if all(f"{f}{k}" in featured.columns for f in features)]
+    names = [f"{f}{k}" for k in kinds for f in features]
     checks = {
         f"_x_{f}{k}": (
             F.abs(_frame_column(k, f, past) - F.col(f"{f}{k}")) > 1e-9
@@ -132,5 +133,10 @@ def past_only_violations(featured: DataFrame, spec: PanelSpec, features: Sequenc
         for k in kinds
         for f in features
     }
-    marked = featured.withColumns(checks)
-    return marked.agg(F.count_if(reduce(lambda a, b: a | b, [F.col(c) for c in checks])).alias("violations"))
+    marked = featured.withColumns(checks).agg(*[F.count_if(F.col(f"_x_{n}")).alias(n) for n in names])
+    return marked.unpivot([], names, "feature", "violations")
+
+
+def past_only_violations(featured: DataFrame, spec: PanelSpec, features: Sequence[str]) -> DataFrame:
+    """Violations of all features together, as one row."""
+    return past_only_violations_by_feature(featured, spec, features).agg(F.sum("violations").alias("violations"))

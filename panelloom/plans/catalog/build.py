@@ -39,14 +39,15 @@ def scan_panel(spark, folder):
 
 @query(
     "unix_to_day",
-    """SELECT event_id, CASE WHEN event_type <> 'error'
+    """SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup')
               THEN CAST(make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS DATE) END AS day FROM events""",
 )
 def unix_to_day(spark, folder):
-    """Unix seconds kept as text; one event type carries unreadable text."""
+    """Unix seconds kept as text; one event type carries unreadable text, one milliseconds."""
     events = src.table(spark, folder, "events")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
     text = F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(seconds)
+    text = F.when(F.col("event_type") == "signup", F.concat(seconds, F.lit("000"))).otherwise(text)
     return events.select("event_id", scalars.unix_day(text).alias("day"))
 
 
@@ -55,17 +56,18 @@ def unix_to_day(spark, folder):
     "SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END AS day FROM events",
 )
 def lenient_date(spark, folder):
-    """Timestamps in a different notation per event type, one of them unreadable."""
+    """Timestamps in two notations per event type, one type unreadable."""
     notations = {
-        "view": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-        "click": "yyyy-MM-dd HH:mm:ss",
-        "signup": "MM/dd/yyyy HH:mm:ss",
-        "purchase": "yyyy-MM-dd",
+        "view": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "MMM d yyyy HH:mm"),
+        "click": ("yyyy-MM-dd HH:mm:ss", "yyyyMMdd"),
+        "signup": ("MM/dd/yyyy HH:mm:ss", "M/d/yyyy h:mm a"),
+        "purchase": ("yyyy-MM-dd", "d MMM yyyy"),
     }
     text = F.lit("n/a")
-    for kind, pattern in notations.items():
-        text = F.when(F.col("event_type") == kind, F.date_format("ts", pattern)).otherwise(text)
-    day = scalars.lenient_day(F.col("text"), ["MM/dd/yyyy HH:mm:ss"])
+    for kind, (even, odd) in notations.items():
+        shown = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", even)).otherwise(F.date_format("ts", odd))
+        text = F.when(F.col("event_type") == kind, shown).otherwise(text)
+    day = scalars.lenient_day(F.col("text"))
     return src.table(spark, folder, "events").select("event_id", text.alias("text")).select("event_id", day.alias("day"))
 
 

@@ -21,7 +21,7 @@ from panelloom.plans.catalog.registry import (
     query,
 )
 from panelloom.sources import readings as src
-from panelloom.spec import BOOTSTRAP_DRAWS, EVENTS
+from panelloom.spec import BOOTSTRAP_DRAWS, EVENTS, LABELS
 
 DRAWS = BOOTSTRAP_DRAWS
 
@@ -105,13 +105,36 @@ def per_class_metrics(spark, folder):
   SELECT names.label, count(*) FILTER (WHERE p.label = names.label AND p.prediction = names.label) AS hit,
          count(*) FILTER (WHERE p.label = names.label) + count(*) FILTER (WHERE p.prediction = names.label) AS seen
   FROM {LABEL_LIST} CROSS JOIN predictions p GROUP BY 1)
-SELECT label, coalesce(2.0 * hit / nullif(seen, 0), 0) AS f1 FROM c ORDER BY f1, label LIMIT 1""",
+SELECT label, coalesce(2.0 * hit / nullif(seen, 0), 0) AS f1 FROM c
+ORDER BY f1, list_position(['Low', 'Medium', 'High'], label) LIMIT 1""",
     "f1",
 )
 def hardest_class(spark, folder):
     return evaluate.hardest_class(evaluate.per_class(predictions(spark, folder)))
 
 
+@query(
+    "hardest_class_constant",
+    f"""WITH {PREDICTIONS}, c AS (
+  SELECT constant.label AS prediction, names.label,
+         count(*) FILTER (WHERE p.label = names.label AND constant.label = names.label) AS hit,
+         count(*) FILTER (WHERE p.label = names.label) + count(*) FILTER (WHERE constant.label = names.label) AS seen
+  FROM {LABEL_LIST} CROSS JOIN (VALUES ('Low'), ('Medium'), ('High')) AS constant(label) CROSS JOIN predictions p
+  GROUP BY ALL)
+SELECT prediction, label, coalesce(2.0 * hit / nullif(seen, 0), 0) AS f1 FROM c
+QUALIFY row_number() OVER (
+  PARTITION BY prediction ORDER BY f1, list_position(['Low', 'Medium', 'High'], label)) = 1""",
+    "f1",
+)
+def hardest_class_constant(spark, folder):
+    """Predictors that always say one label: the other two tie at zero."""
+    rows = predictions(spark, folder)
+    frames = {
+        x: evaluate.hardest_class(evaluate.per_class(rows.withColumn("prediction", F.lit(x)))) for x in LABELS
+    }
+    return compare.union_conditions(frames, "prediction")
+
+
 _SUBJECT_METRICS = metric_sql("predictions", "subject_id")
 
 

@@ -263,14 +263,20 @@ def histogram_fixed(spark, folder):
 
 @query(
     "histogram_equal_width",
-    f"""WITH {PANEL}, {LONG}, e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY 1),
-b AS (SELECT feature, least(12, greatest(1, ceil((value - lo) * 12 / (hi - lo)))) AS bin FROM long JOIN e USING (feature))
+    f"""WITH {PANEL}, {LONG}, varied AS (
+  SELECT feature, value FROM long UNION ALL SELECT 'constant', 7.25 FROM panel UNION ALL SELECT 'zero', 0 FROM panel),
+r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM varied GROUP BY 1),
+e AS (SELECT feature, lo - pad AS lo, hi + pad AS hi FROM (
+  SELECT *, CASE WHEN lo < hi THEN 0 WHEN lo = 0 THEN 0.001 ELSE abs(lo) * 0.001 END AS pad FROM r)),
+b AS (SELECT feature, least(12, greatest(1, ceil(round((value - lo) * 12 / (hi - lo), 9)))) AS bin FROM varied JOIN e USING (feature))
 SELECT e.feature, CAST(g.bin AS INTEGER) AS bin, count(b.bin) AS n
 FROM e CROSS JOIN (SELECT unnest(range(1, 13)) AS bin) g LEFT JOIN b ON b.feature = e.feature AND b.bin = g.bin
 GROUP BY ALL""",
 )
 def histogram_equal_width(spark, folder):
-    return profile.histogram_equal_width(panels.panel(spark, folder), FEATURES)
+    """The features, and two that do not vary."""
+    panel = panels.panel(spark, folder).withColumns({"constant": F.lit(7.25), "zero": F.lit(0.0)})
+    return profile.histogram_equal_width(panel, [*FEATURES, "constant", "zero"])
 
 
 @query(

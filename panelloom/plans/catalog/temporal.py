@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from panelloom.operators import temporal
+from panelloom.operators.compare import union_conditions
 from panelloom.plans import panels
 from panelloom.plans.catalog.profile import ORDER_PANEL_SQL
 from panelloom.plans.catalog.registry import FEATURES, PANEL, query
@@ -61,8 +64,34 @@ def order_temporal(spark, folder):
     return featured.select(*KEY, *names(temporal.ALL_KINDS, _ORDER_FEATURES))
 
 
-@query("past_only_check", "SELECT CAST(0 AS BIGINT) AS violations FROM events LIMIT 1")
+def _violation_sql(source: str, name: str) -> str:
+    """Rows of a table whose history columns differ from the past of its features."""
+    checks = " UNION ALL ".join(
+        f"SELECT '{name}' AS subject_table, '{f}{k}' AS feature, CAST(count(*) FILTER (WHERE abs(past_{f}{k} - {f}{k}) > 1e-9 "
+        f"OR (past_{f}{k} IS NULL) <> ({f}{k} IS NULL)) AS BIGINT) AS violations FROM {source}"
+        for k in temporal.ALL_KINDS
+        for f in _CHECKED
+    )
+    return checks
+
+
+_CHECKED = FEATURES[:3]
+_PAST = ", ".join(f"{FRAMES[k].format(f)} AS past_{f}{k}" for k in temporal.ALL_KINDS for f in _CHECKED)
+_SAME = ", ".join(f"past_{f}{k} AS {f}{k}" for k in temporal.ALL_KINDS for f in _CHECKED)
+_LEAK = ", ".join(f"{f} AS {f}{k}" for k in temporal.ALL_KINDS for f in _CHECKED)
+
+
+@query(
+    "past_only_check",
+    f"""WITH {PANEL}, past AS (SELECT *, {_PAST} FROM panel),
+intact AS (SELECT *, {_SAME} FROM past), leaking AS (SELECT *, {_LEAK} FROM past)
+{_violation_sql('intact', 'intact')} UNION ALL {_violation_sql('leaking', 'leaking')}""",
+)
 def past_only_check(spark, folder):
-    """Stored past features against a recomputation: no row may differ."""
-    featured = temporal.add_past_features(panels.panel(spark, folder), EVENTS, block_days=5)
-    return temporal.past_only_violations(featured, EVENTS, FEATURES)
+    """Rows that differ from a recomputation, for the built features and for ones that hold the present."""
+    featured = temporal.add_past_features(panels.panel(spark, folder), EVENTS, _CHECKED, block_days=5)
+    leaking = featured.withColumns({f"{f}{k}": F.col(f) for k in temporal.ALL_KINDS for f in _CHECKED})
+    frames = {"intact": featured, "leaking": leaking}
+    return union_conditions(
+        {n: temporal.past_only_violations_by_feature(x, EVENTS, _CHECKED) for n, x in frames.items()}, "subject_table"
+    )

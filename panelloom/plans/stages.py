@@ -178,7 +178,9 @@ def robustness_checks(
     draws: int = 2000,
 ) -> None:
     """Stage 07: fixed configurations, bootstrap over subjects, leave one out."""
-    panel = temporal.add_past_features(spark.read.parquet(f"{source}/model_table"), spec)
+    stored = spark.read.parquet(f"{source}/model_table")
+    validate.require_unique_key(stored, spec)
+    panel = temporal.add_past_features(stored, spec)
     train, test = split.split_parts(panel)
     sets = {**ablation_groups(spec), **temporal_conditions(spec)}
     frames, left_out = {}, {}

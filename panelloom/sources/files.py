@@ -1,17 +1,22 @@
 """One folder per subject, one CSV per kind of reading.
 
-Each kind is read with a single multi-file scan over all subject folders.
+Each kind is read with one multi-file scan per header over all subject folders.
 Which subjects own which files comes from the scan's file listing, so a file
 that holds no row still counts as present.
 """
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelloom.functions import scalars
+
 # Columns of the seven reading files. Timestamps stay text here
 # and are converted leniently afterwards.
 FILE_SCHEMAS = {
@@ -53,24 +58,68 @@ def value_columns(modality: str) -> list[str]:
     return [f.name for f in schema_of(modality).fields if f.name not in NOT_VALUES]
 
 
+# Texts that count as missing besides the empty one.
+MISSING = [
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+
+def _headers(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+    """Paths by the column names in their first line.
+
+    One line per file comes to the driver, which has to list the files anyway.
+    """
+    first = (
+        spark.read.text(pattern)
+        .select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"),
+                F.col("_metadata.file_block_start").alias("_block"))
+        .where("_block = 0")
+        .groupBy("path")
+        .agg(F.min_by("value", "_at").alias("header"))
+    )
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.toLocalIterator():
+        names = next(csv.reader([row.header.lstrip("\ufeff")]), [])
+        found.setdefault(tuple(n.strip() for n in names), []).append(row.path)
+    return found
+
+
+def _typed(column: Column, kind: T.DataType) -> Column:
+    """A cell as its type; missing texts, unreadable ones and NaN give null."""
+    text = F.when(~F.trim(column).isin(["", *MISSING]), F.trim(column))
+    if isinstance(kind, T.DoubleType):
+        return scalars.number(text)
+    return text.try_cast(kind)
+
+
 def scan_modality(spark: SparkSession, root: str, modality: str, subject: str = "subject_id") -> DataFrame:
-    """All readings of one kind; the subject is the folder name, digits only."""
+    """All readings of one kind; the subject is the folder name, digits only.
+
+    Files are read by column name: columns may come in any order, unknown ones
+    are ignored and absent ones are null. Files with the same header share one scan.
+    """
     schema = schema_of(modality)
+    owner = F.regexp_extract(F.col("_metadata.file_path"), _FOLDER, 1)
+    empty = T.StructType([T.StructField(subject, T.StringType()), *schema.fields])
+    scans = [spark.createDataFrame([], empty)]
     try:
-        raw = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("encoding", "UTF-8")
-            .option("enforceSchema", False)
-            .csv(f"{root}/*/{modality}.csv")
-        )
+        headers = _headers(spark, f"{root}/*/{modality}.csv")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        empty = T.StructType([T.StructField(subject, T.StringType()), *schema.fields])
-        return spark.createDataFrame([], empty)
-    owner = F.regexp_extract(F.col("_metadata.file_path"), _FOLDER, 1)
-    return raw.select(owner.alias(subject), "*").where(F.col(subject).rlike("^[0-9]+$"))
+        headers = {}
+    for names, paths in sorted(headers.items()):
+        texts = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        raw = spark.read.schema(texts).option("header", True).option("encoding", "UTF-8").csv(paths)
+        cells = {n: F.col(f"_c{i}") for i, n in reversed(list(enumerate(names)))}
+        typed = [
+            (_typed(cells[f.name], f.dataType) if f.name in cells else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ]
+        scans.append(raw.select(owner.alias(subject), *typed))
+    union = reduce(DataFrame.unionByName, scans[1:] or scans)
+    return union.where(F.col(subject).rlike("^[0-9]+$"))
 
 
 def list_files(spark: SparkSession, root: str, subject: str = "subject_id") -> DataFrame:

@@ -110,9 +110,12 @@ def test_duplicates_resolved_and_profiled(spark):
     assert set(found) == {"a", "c"}
     assert found["a"].value_conflict and found["a"].label_conflict and found["a"].label_values == "Low; Medium"
     assert found["a"].score_values == "17.0; 18.0" and not found["c"].value_conflict
-    # beyond the list limit the flags stay and the values remain in the long form
-    cut = {r.subject_id: r for r in clean.duplicate_conflicts(rows, SMALL, limit=1).collect()}
-    assert cut["a"].score_values is None and cut["a"].value_conflict and cut["a"].n_rows == 2
+    # a key with very many rows lists all of them
+    many = rows.unionByName(rows.where("subject_id = 'b'").select(*[c for c in rows.columns if c != "score"])
+                            .crossJoin(spark.range(5000).selectExpr("CAST(id % 7 AS DOUBLE) AS score")))
+    long = {r.subject_id: r for r in clean.duplicate_conflicts(many, SMALL).collect()}["b"]
+    assert long.n_rows == 5001 and len(long.score_values.split("; ")) == 5001 and long.secondary_values == ""
+    assert long.score_values.startswith("0.0; 0.0") and long.score_values.endswith("6.0; 6.0")
     assert values(clean.repeated_values(rows, KEY, "score"), "subject_id", "value", "n") == [
         ("a", 17.0, 1), ("a", 18.0, 1), ("c", 9.0, 2)]
     summary = clean.duplicate_summary(rows, SMALL).first()
@@ -224,11 +227,6 @@ def test_scaling_and_imputation_learn_from_train_only(spark):
     assert values(scaled, "x", "c") == [(-1.0, 0.0), (1.0, 0.0), (None, 0.0)]
     fitted = prep.MedianImputer(inputCols=["x"]).fit(train)
     assert fitted.values == {"x": 2.0}
-    direct, prep.DIRECT_MEDIAN_ROWS = prep.DIRECT_MEDIAN_ROWS, 0
-    try:
-        assert prep.MedianImputer(inputCols=["x"]).fit(train).values == {"x": 2.0}
-    finally:
-        prep.DIRECT_MEDIAN_ROWS = direct
 
 
 def test_guards(spark):
@@ -359,3 +357,17 @@ def test_hot_key_is_counted_whole(spark):
     marked = clean.mark_duplicates(frame, KEY, "event_id")
     assert marked.count() == 900 and marked.where("is_surplus").count() == 299
     assert coverage.key_flags(frame, frame, KEY).count() == 601
+
+
+def test_narrow_columns_do_not_meet_in_one_window(spark):
+    """A hundred thousand values in a range of a ten-thousandth, all in one cell."""
+    from panelloom.functions import ordering
+
+    frame = spark.range(100_000).selectExpr("1000 + CAST(id AS DOUBLE) / 1000000 AS x")
+    cells = frame.select(ordering.cell_of(F.col("x")).alias("cell"), ordering.inner_of(F.col("x")).alias("inner"))
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] > 50_000
+    assert cells.groupBy("cell", "inner").count().agg(F.max("count")).first()[0] < 100
+    got = {r["share"]: r["quantile"] for r in ordering.quantiles(frame, ["x"], [0.25, 0.5, 1.0]).collect()}
+    assert got[0.5] == pytest.approx(1000.0499995, abs=1e-9) and got[1.0] == 1000 + 99_999 / 1000000
+    ranks = ordering.average_ranks(frame.selectExpr("x", "1L AS n", "'f' AS feature"), ["feature"], "x")
+    assert ranks.where("abs(avg_rank - (round((x - 1000) * 1000000) + 1)) > 0.01").count() == 0

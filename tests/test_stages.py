@@ -6,6 +6,7 @@ from panelloom.models import families, tuning
 from panelloom.models.families import Family
 from panelloom.plans import stages
 from panelloom.sources import files, tables
+from panelloom.sources import readings as src
 from panelloom.spec import WEARABLE
 
 HEADS = {m: ",".join(f.name for f in files.schema_of(m).fields) for m in files.MODALITIES}
@@ -106,3 +107,24 @@ def test_models_and_robustness(spark, root, tmp_path):
     assert spark.read.parquet(f"{out}/checks/leave_one_out_summary").first().n_subjects == 6
     with pytest.raises(ValueError, match="nulls"):
         stages.untuned_comparison(spark, f"{out}/model", f"{out}/x", ["avg_rmssd"])
+
+
+def test_odd_files_are_read_by_name(spark, tmp_path):
+    """Missing texts, an extra and a reordered column, mixed dates, absurd seconds."""
+    write(tmp_path / "1", "steps", ["2024-01-01 10:00:00,NaN", "01/01/2024 11:00:00,5", "Jan 1 2024 10:00,NA", "20240102,7"])
+    (tmp_path / "2").mkdir()
+    (tmp_path / "2" / "steps.csv").write_text("note,steps,timestamp\nx,3,2024-01-01 10:00:00\ny,,1/2/2024\n")
+    (tmp_path / "3").mkdir()
+    (tmp_path / "3" / "steps.csv").write_text("timestamp\n2024-01-01\n")
+    write(tmp_path / "1", "daily_questions", [f"0,0,{1704067200000},0,0,0,0,nan,3", "0,0,1704067200,0,0,0,0,5,NULL"])
+    scan = files.scan_modality(spark, str(tmp_path), "steps")
+    assert scan.columns == ["subject_id", "timestamp", "steps"]
+    got = list((r.student_id, str(r.date), r.value) for r in src.file_readings(spark, str(tmp_path), WEARABLE).where(
+        "modality = 'steps'").withColumnRenamed("steps__steps", "value").collect())
+    one, two = "2024-01-01", "2024-01-02"
+    assert sorted(map(str, got)) == sorted(map(str, [
+        ("1", one, None), ("1", one, 5.0), ("1", one, None), ("1", two, 7.0), ("2", one, 3.0), ("2", two, None), ("3", one, None)]))
+    rows = files.scan_modality(spark, str(tmp_path), "daily_questions").collect()
+    assert sorted((str(r.stress), str(r.anxiety)) for r in rows) == [("5.0", "None"), ("None", "3.0")]
+    days = [r[0] for r in files.scan_modality(spark, str(tmp_path), "daily_questions").select(src.file_day("daily_questions")).collect()]
+    assert sorted(map(str, days)) == ["2024-01-01", "None"]

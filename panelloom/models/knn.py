@@ -1,12 +1,17 @@
 """Exact nearest neighbours as a partitioned join.
 
-Rows are grouped around pivots.  From the distances to the pivots follows, for
-each group of query rows, a radius that certainly holds k neighbours; a
-training row travels to a group only if it can lie within that radius (Lu et
-al., "Efficient processing of k nearest neighbor joins using MapReduce", VLDB
-2012).  Groups are cut into blocks of limited size on both sides, whatever
-their population; a task compares one pair of blocks and returns k rows per
-query, so the pairs themselves are never materialised.
+Training rows are grouped around their nearest pivots, once each.  In a first
+pass a query meets its own group only, which gives it a radius that certainly
+holds k neighbours.  In the second it visits those other groups that reach into
+the radius: neither their ring of distances around the pivot nor the plane that
+separates the pivots may keep them outside (after Lu et al., "Efficient
+processing of k nearest neighbor joins using MapReduce", VLDB 2012).  Groups are
+cut into blocks of limited size on both sides, whatever their population; a task
+compares one pair of blocks and returns k rows per query, so the pairs
+themselves are never materialised.
+
+Distances in many dimensions are alike and hardly leave a group out: of 64
+unstructured dimensions nearly all pairs are compared.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelloom.functions import ordering
+from panelloom.session import cut_lineage
 from panelloom.spec import SEED
 
 # Functions below run in Python workers, which need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_PIVOTS = 256
 # Query rows per block; training blocks are larger, since every training block
 # returns k rows for every query it meets.
 BLOCK_ROWS = 1024
@@ -66,9 +71,9 @@ class _Geometry:
     """What the driver keeps: a few numbers per pivot."""
 
     pivots: np.ndarray
-    near: np.ndarray  # smallest distance of a query of the group to its pivot
+    near: np.ndarray  # smallest distance of a training row of the group to its pivot
     far: np.ndarray  # largest distance
-    radius: np.ndarray  # holds at least k neighbours of any query of the group
+    kth: np.ndarray  # distance from the pivot to its k-th nearest training row
 
 
 def _choose_pivots(train: DataFrame, train_id: str, vector: str, count: int) -> np.ndarray:
@@ -77,14 +82,14 @@ def _choose_pivots(train: DataFrame, train_id: str, vector: str, count: int) ->
     return np.unique(np.array([r[0] for r in rows], dtype=float), axis=0)
 
 
-def _query_cells(test: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
+def _with_cell(rows: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     @F.pandas_udf("struct<cell:int,distance:double>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         d = _distances(np.stack(vectors.to_numpy()).astype(float), pivots)
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "distance": d[np.arange(len(d)), cell]})
 
-    return test.withColumn("_near", nearest(vector))
+    return rows.withColumn("_near", nearest(vector))
 
 
 def _kth_nearest_to_pivots(train: DataFrame, vector: str, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -117,13 +122,10 @@ def _kth_nearest_to_pivots(train: DataFrame, vector: str, pivots: np.ndarray, k:
     return kth
 
 
-def _geometry(
-    train: DataFrame, test: DataFrame, train_id: str, vector: str, k: int, pivot_count: int
-) -> tuple[_Geometry, dict[int, int], DataFrame]:
-    pivots = _choose_pivots(train, train_id, vector, pivot_count)
-    celled = _query_cells(test, vector, pivots)
+def _geometry(training: DataFrame, vector: str, k: int, pivots: np.ndarray) -> tuple[_Geometry, dict[int, int]]:
+    """Rings around the pivots, and training rows by group."""
     stats = (
-        celled.groupBy("_near.cell")
+        training.groupBy("_near.cell")
         .agg(
             F.min("_near.distance").alias("near"),
             F.max("_near.distance").alias("far"),
@@ -134,23 +136,32 @@ def _geometry(
     near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
     for row in stats:
         near[row.cell], far[row.cell] = row.near, row.far
-    radius = far + _kth_nearest_to_pivots(train, vector, pivots, k)
-    return _Geometry(pivots, near, far, radius), {r.cell: r.n for r in stats}, celled
+    kth = _kth_nearest_to_pivots(training, vector, pivots, k)
+    return _Geometry(pivots, near, far, kth), {r.cell: r.n for r in stats}
 
 
-def _training_cells(train: DataFrame, vector: str, geometry: _Geometry) -> DataFrame:
-    """Training rows copied to every query group they may matter to."""
+def _with_visits(queries: DataFrame, vector: str, geometry: _Geometry) -> DataFrame:
+    """Other groups that may hold one of a query's neighbours, column ``visits``.
+
+    ``kth`` is the k-th best distance in the query's own group, if it has one.
+    """
     g = geometry
-    slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(g.radius), g.radius, 0.0)))
+    between = _distances(g.pivots, g.pivots)
 
     @F.pandas_udf("array<int>")
-    def reachable(vectors: pd.Series) -> pd.Series:
+    def reachable(vectors: pd.Series, cell: pd.Series, distance: pd.Series, kth: pd.Series) -> pd.Series:
         d = _distances(np.stack(vectors.to_numpy()).astype(float), g.pivots)
-        lower = np.maximum(d - g.far, g.near - d)
-        hits = (lower <= g.radius + slack) & np.isfinite(g.near)
+        own, home = cell.to_numpy(), distance.to_numpy()
+        radius = np.fmin(kth.to_numpy(dtype=float), home + g.kth[own])[:, None]
+        radius = radius + 1e-9 * (1.0 + np.abs(np.where(np.isfinite(radius), radius, 0.0)))
+        ring = np.maximum(d - g.far, g.near - d) <= radius
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d**2 - home[:, None] ** 2) / (2 * between[own])
+        hits = ring & ~(plane > radius) & np.isfinite(g.near)
+        hits[np.arange(len(own)), own] = False
         return pd.Series([np.flatnonzero(h).astype("int32") for h in hits])
 
-    return train.withColumn("_cell", F.explode(reachable(vector)))
+    return queries.withColumn("visits", reachable(vector, "_near.cell", "_near.distance", "kth"))
 
 
 def nearest_neighbours(
@@ -170,36 +181,55 @@ def nearest_neighbours(
     (test_id, neighbour, distance, place[, carry]), place counting from 1.
     """
     if pivots is None:
-        pivots = int(min(MAX_PIVOTS, max(4, train.count() ** 0.5 / 4)))
-    geometry, query_counts, celled = _geometry(train, test, train_id, vector, k, pivots)
-    training = _training_cells(train, vector, geometry)
-    train_counts = {r["_cell"]: r["n"] for r in training.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+        pivots = int(max(4, train.count() ** 0.5 / 4))
+    centres = _choose_pivots(train, train_id, vector, pivots)
+    extra = [F.col(carry).alias("carry")] if carry else []
+    training = _with_cell(train, vector, centres).select(
+        F.col(train_id).alias("neighbour"), F.col(vector).alias("vector"), *extra, "_near"
+    )
+    geometry, sizes = _geometry(training, "vector", k, centres)
+    queries = _with_cell(test.select(F.col(test_id).alias("query"), F.col(vector).alias("vector")), "vector", centres)
+
+    # Few rows, k per query, and read twice: for the radius and for the result.
+    home = cut_lineage(_compared(queries.withColumn("cell", F.col("_near.cell")), training, sizes, k, block_rows))
+    reached = home.groupBy("query").agg(F.when(F.count("*") >= k, F.max("distance")).alias("kth"))
+    visiting = _with_visits(queries.join(reached, "query", "left"), "vector", geometry)
+    away = _compared(
+        visiting.select("query", "vector", F.explode("visits").alias("cell")), training, sizes, k, block_rows
+    )
+    place = Window.partitionBy("query").orderBy("distance", "neighbour")
+    ranked = home.unionByName(away).withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    return ranked.withColumnsRenamed({"query": test_id, **({"carry": carry} if carry else {})})
 
-    def blocks(counts: dict[int, int], size: int) -> Column:
-        pieces = [x for c, n in counts.items() for x in (F.lit(int(c)), F.lit(int(-(-n // size))))]
-        return F.create_map(*pieces)
 
-    query_blocks = blocks(query_counts, block_rows)
-    train_blocks = blocks(train_counts, block_rows * TRAIN_BLOCK_FACTOR)
-    extra = [F.col(carry).alias("carry")] if carry else []
-    part = lambda column, cell, table: F.pmod(F.xxhash64(column), table[cell]).cast("int")
-    # Each block meets every block of the other side in its group.
-    left = celled.select(
-        F.col(test_id).alias("query"),
-        F.col(vector).alias("vector"),
-        F.col("_near.cell").alias("cell"),
-        part(F.col(test_id), F.col("_near.cell"), query_blocks).alias("qb"),
-        F.explode(F.sequence(F.lit(0), train_blocks[F.col("_near.cell")] - 1)).alias("tb"),
+def _compared(queries: DataFrame, training: DataFrame, sizes: dict[int, int], k: int, block_rows: int) -> DataFrame:
+    """(query, neighbour, distance[, carry]): k best of each query (query, vector, cell) in its group.
+
+    Each block of a group's queries meets each block of its training rows.
+    """
+    train_sizes = {c: -(-n // (block_rows * TRAIN_BLOCK_FACTOR)) for c, n in sizes.items()}
+    counted = queries.groupBy("cell").agg(F.count("*").alias("n")).collect()  # a row per pivot
+    query_sizes = {r["cell"]: -(-r["n"] // block_rows) for r in counted}
+
+    def blocks(counts: dict[int, int]) -> Column:
+        pieces = [x for c, n in counts.items() for x in (F.lit(int(c)), F.lit(int(n)))]
+        return F.create_map(*pieces).cast("map<int,int>")
+
+    tables = {"q": blocks(query_sizes), "t": blocks(train_sizes)}
+    part = lambda column, cell, table: F.pmod(F.xxhash64(column), tables[table][cell]).cast("int")
+    every = lambda cell, table: F.explode(F.sequence(F.lit(0), tables[table][cell] - 1))
+    own = F.col("cell")
+    left = queries.where(tables["t"][own] > 0).select(
+        "query", "vector", "cell", part("query", own, "q").alias("qb"), every(own, "t").alias("tb")
     )
-    right = training.select(
-        F.col(train_id).alias("neighbour"),
-        F.col(vector).alias("vector"),
-        *extra,
-        F.col("_cell").alias("cell"),
-        part(F.col(train_id), F.col("_cell"), train_blocks).alias("tb"),
-        F.explode(F.sequence(F.lit(0), query_blocks[F.col("_cell")] - 1)).alias("qb"),
+    right = (
+        training.withColumn("cell", F.col("_near.cell"))
+        .drop("_near")
+        .where(tables["q"][own] > 0)
+        .withColumns({"tb": part("neighbour", own, "t"), "qb": every(own, "q")})
     )
     fields = {f.name: f.dataType for f in [*left.schema.fields, *right.schema.fields]}
+    carry = "carry" in fields
     out = T.StructType(
         [T.StructField("query", fields["query"]), T.StructField("neighbour", fields["neighbour"])]
         + [T.StructField("distance", T.DoubleType())]
@@ -224,10 +254,7 @@ def nearest_neighbours(
         return pd.DataFrame(found)
 
     grid = ["cell", "qb", "tb"]
-    found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(compare, out)
-    place = Window.partitionBy("query").orderBy("distance", "neighbour")
-    ranked = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
-    return ranked.withColumnsRenamed({"query": test_id, **({"carry": carry} if carry else {})})
+    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(compare, out)
 
 
 def vote(neighbours: DataFrame, test_id: str, label: str, out: str = "prediction") -> DataFrame:

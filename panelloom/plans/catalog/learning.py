@@ -12,7 +12,7 @@ from panelloom.models import families, robustness, tuning
 from panelloom.models.families import Family
 from panelloom.operators import validate
 from panelloom.plans import panels
-from panelloom.plans.catalog.registry import FEATURES, query
+from panelloom.plans.catalog.registry import FEATURES, SPLIT, query
 from panelloom.spec import EVENTS, ablation_groups, deviation_conditions, temporal_conditions
 
 
@@ -57,7 +57,28 @@ for _name, _params in SINGLE.items():
     _register_single(_name, _params)
 
 
-@query("knn_panel")
+_MEDIANS = ", ".join(f"quantile_cont({f}, 0.5) AS {f}" for f in FEATURES)
+_FILLED = ", ".join(f"coalesce(r.{f}, m.{f}, 0) AS {f}" for f in FEATURES)
+_MOMENTS = ", ".join(f"avg({f}) AS {f}_a, coalesce(nullif(stddev_pop({f}), 0), 1) AS {f}_s" for f in FEATURES)
+_APART = " + ".join(f"pow((q.{f} - {f}_a) / {f}_s - (t.{f} - {f}_a) / {f}_s, 2)" for f in FEATURES)
+KNN_SQL = f"""{SPLIT},
+r AS (SELECT *, subject_id || '|' || day AS row_id FROM split_panel WHERE label IS NOT NULL),
+m AS (SELECT {_MEDIANS} FROM r WHERE split = 'train'),
+filled AS (SELECT subject_id, day, row_id, label, split, {_FILLED} FROM r CROSS JOIN m),
+moments AS (SELECT {_MOMENTS} FROM filled WHERE split = 'train'),
+near AS (
+  SELECT q.subject_id, q.day, q.label, t.label AS said,
+         row_number() OVER (PARTITION BY q.row_id ORDER BY round(sqrt({_APART}), 9), t.row_id) AS place
+  FROM filled q JOIN filled t ON q.split = 'test' AND t.split = 'train' CROSS JOIN moments),
+votes AS (SELECT subject_id, day, label, said, count(*) AS n FROM near WHERE place <= 5 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    "knn_panel",
+    f"""WITH {KNN_SQL}
+SELECT subject_id, day, label, said AS prediction FROM votes
+QUALIFY row_number() OVER (PARTITION BY subject_id, day ORDER BY n DESC, said) = 1""",
+)
 def knn_panel(spark, folder):
     train, test = _parts(panels.split_panel(spark, folder))
     return tuning.fit_predict(train, test, EVENTS, FEATURES, families.FAMILIES["knn"], {"n_neighbors": 5})

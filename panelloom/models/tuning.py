@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.models import families
-from panelloom.models.evaluate import MacroF1Evaluator, evaluate
+from panelloom.models.evaluate import MacroF1Evaluator, confusion_matrix, confusion_percent, evaluate
 from panelloom.models.families import Family
 from panelloom.operators import split as splitting
 from panelloom.operators.compare import best_per_group, union_conditions, with_tuning
@@ -150,13 +150,30 @@ def compare_models(
     folds: int = 5,
 ) -> DataFrame:
     """Tune every family on train subjects and evaluate it once on test subjects."""
+    return compare_with_matrices(train, test, spec, features, chosen, folds)[0]
+
+
+def compare_with_matrices(
+    train: DataFrame,
+    test: DataFrame,
+    spec: PanelSpec,
+    features: Sequence[str],
+    chosen: dict[str, Family] | None = None,
+    folds: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """Results of ``compare_models`` and the confusion matrix of every family."""
+    spark = train.sparkSession
     tuned = tune(train, spec, features, chosen, folds)
     scored = union_conditions(
         {name: predict(m, test, spec, features) for name, m in tuned.models.items()}, "model"
-    )
-    results = with_tuning(evaluate(scored, ["model"]), tuned.tuning, ["model"])
-    # One row per family: evaluated now, while the caller keeps its input cached.
-    return train.sparkSession.createDataFrame(results.collect(), results.schema)
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        results = with_tuning(evaluate(scored, ["model"]), tuned.tuning, ["model"])
+        matrix = confusion_percent(confusion_matrix(scored, ["model"]), ["model"])
+        # A few rows per family: evaluated now, while the caller keeps its input cached.
+        return tuple(spark.createDataFrame(f.collect(), f.schema) for f in (results, matrix))
+    finally:
+        scored.unpersist()
 
 
 def best_against_baseline(results: DataFrame, baseline: str = "majority_baseline") -> DataFrame:
@@ -198,6 +215,43 @@ def compare_feature_sets(
     return union_conditions(frames)
 
 
+def run_experiments(
+    panel: DataFrame,
+    spec: PanelSpec,
+    experiments: dict[str, dict[str, Sequence[str]]],
+    chosen: dict[str, Family] | None = None,
+    folds: int = 5,
+    split: str = "split",
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(results, confusion matrices) of each experiment's feature sets.
+
+    A feature set that several experiments share is tuned once. Results carry
+    the lead over the baseline of the same feature set and the hardest label.
+    """
+    sets = {tuple(f): None for conditions in experiments.values() for f in conditions.values()}
+    used = sorted({c for features in sets for c in features})
+    shared = panel.select(*spec.key, spec.label, split, *used).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = splitting.split_parts(shared, split)
+
+        def run(features: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+            results, matrix = compare_with_matrices(train, test, spec, features, chosen, folds)
+            return best_against_baseline(results).withColumn("n_features", F.lit(len(features))), matrix
+
+        found = dict(zip(sets, _parallel(panel.sparkSession, list(sets), run)))
+    finally:
+        shared.unpersist()
+    return {
+        name: tuple(union_conditions({c: found[tuple(f)][part] for c, f in conditions.items()}) for part in (0, 1))
+        for name, conditions in experiments.items()
+    }
+
+
+def best_overall(results: DataFrame) -> DataFrame:
+    """The one row with the highest score, ties by condition and model."""
+    return best_per_condition(results).orderBy(F.desc("macro_f1"), "condition", "model").limit(1)
+
+
 def best_per_condition(results: DataFrame) -> DataFrame:
     return best_per_group(results, ["condition"], "macro_f1", ["model"])
 

@@ -29,8 +29,12 @@ TARGET = (src.TARGET_MODALITY, f"{src.TARGET_MODALITY}__stress", f"{src.TARGET_M
 
 
 def raw_audit(spark: SparkSession, root: str, out: str, spec: PanelSpec = WEARABLE) -> None:
-    """Stage 00: files, coverage of target days, availability, questionnaire."""
-    readings = src.file_readings(spark, root, spec)
+    """Stage 00: files, coverage of target days, availability, questionnaire.
+
+    The files are parsed once; everything else reads the readings as landed.
+    """
+    tables.write_table(src.file_readings(spark, root, spec), f"{out}/readings", ("modality",))
+    readings = spark.read.parquet(f"{out}/readings")
     present = files.list_files(spark, root, spec.subject)
     values = {m: [f"{m}__{c}" for c in files.value_columns(m)] for m in files.MODALITIES}
     flags = coverage.day_flags(readings, spec.key, files.MODALITIES, *TARGET[:2])
@@ -38,23 +42,34 @@ def raw_audit(spark: SparkSession, root: str, out: str, spec: PanelSpec = WEARAB
     audit = coverage.modality_audit(readings, spec.subject, spec.day, values, present)
     tables.write_table(audit, f"{out}/modality_audit")
     tables.write_table(covered, f"{out}/target_coverage")
+    covered = spark.read.parquet(f"{out}/target_coverage")
     tables.write_table(coverage.coverage_summary(covered, spec.subject), f"{out}/coverage_summary")
     available = coverage.subject_availability(
         flags, spec.subject, files.MODALITIES, files.WEARABLE_MODALITIES, TARGET[0], present
     )
     tables.write_table(available, f"{out}/availability")
+    audit, available = (spark.read.parquet(f"{out}/{name}") for name in ("modality_audit", "availability"))
     tables.write_audit(long_metrics(coverage.audit_summary(available)), f"{out}/summary")
     tables.write_table(coverage.missing_files(audit), f"{out}/missing_files")
     answers = daily.target_rows(readings, spec, *TARGET)
     tables.write_audit(long_metrics(profile.target_audit(answers, spec)), f"{out}/target_audit")
 
 
-def build(spark: SparkSession, root: str, out: str, spec: PanelSpec = WEARABLE, earlier: DataFrame | None = None) -> None:
+def build(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    spec: PanelSpec = WEARABLE,
+    earlier: DataFrame | None = None,
+    readings: DataFrame | None = None,
+) -> None:
     """Stage 01: one row per answer with all daily columns, and its audit.
 
-    ``earlier`` is a previous version of the table to compare with.
+    ``earlier`` is a previous version of the table to compare with; ``readings``
+    are those that stage 00 has landed, if it ran.
     """
-    rows = daily.subject_day_rows(src.file_readings(spark, root, spec), spec, src.FILE_MEASURES, *TARGET)
+    readings = src.file_readings(spark, root, spec) if readings is None else readings
+    rows = daily.subject_day_rows(readings, spec, src.FILE_MEASURES, *TARGET)
     tables.write_table(rows, f"{out}/subject_day_rows")
     stored = spark.read.parquet(f"{out}/subject_day_rows")
     tables.write_audit(long_metrics(profile.panel_audit(stored, spec)), f"{out}/build_audit")
@@ -147,10 +162,11 @@ def model_comparison(
         "temporal": conditions,
         "deviation": deviation_conditions(spec),
     }
-    for name, sets in experiments.items():
-        results = tuning.compare_feature_sets(featured, spec, sets, chosen, folds)
+    for name, (results, matrices) in tuning.run_experiments(featured, spec, experiments, chosen, folds).items():
         tables.write_table(results, f"{out}/{name}_results")
         tables.write_table(tuning.best_per_condition(results), f"{out}/{name}_best")
+        tables.write_table(tuning.best_overall(results), f"{out}/{name}_best_overall")
+        tables.write_table(matrices, f"{out}/{name}_confusion")
 
 
 def untuned_comparison(
@@ -207,7 +223,7 @@ def labelled(frame: DataFrame, spec: PanelSpec = WEARABLE) -> DataFrame:
 def data_stages(spark: SparkSession, root: str, out: str, spec: PanelSpec = WEARABLE) -> None:
     """Stages 00 to 03 and the descriptive tables, in order."""
     raw_audit(spark, root, f"{out}/audit", spec)
-    build(spark, root, f"{out}/build", spec)
+    build(spark, root, f"{out}/build", spec, readings=spark.read.parquet(f"{out}/audit/readings"))
     cleaning(spark, f"{out}/build", f"{out}/clean", spec)
     model_data(spark, f"{out}/clean", f"{out}/model", spec)
     description(spark, f"{out}/model", f"{out}/description", spec)

@@ -105,6 +105,27 @@ def test_models_and_robustness(spark, root, tmp_path):
     summary = spark.read.parquet(f"{out}/checks/bootstrap_summary").first()
     assert summary.n_draws == 30 and summary.ci_lower_2_5 <= summary.mean_macro_f1 <= summary.ci_upper_97_5
     assert spark.read.parquet(f"{out}/checks/leave_one_out_summary").first().n_subjects == 6
+    folds = spark.read.parquet(f"{out}/checks/leave_one_out_folds")
+    assert folds.count() == 6 and set(folds.columns) == {"analysis", "student_id", "n_rows", "macro_f1"}
+    # Without a grid: one fit per feature set; the search itself is tested above.
+    small = {"n_estimators": 2, "max_depth": 2}
+    quick = {
+        "majority_baseline": families.FAMILIES["majority_baseline"],
+        "random_forest": Family(lambda p, i, r: families.FAMILIES["random_forest"].build(small, i, r)),
+    }
+    stages.model_comparison(spark, f"{out}/model", f"{out}/compared", chosen=quick, folds=2)
+    sizes = {"models": 1, "feature_groups": 4, "temporal": 5, "deviation": 2}
+    for name, conditions in sizes.items():
+        table = spark.read.parquet(f"{out}/compared/{name}_results")
+        assert table.count() == 2 * conditions and {"lead", "hardest_label", "n_features"} <= set(table.columns)
+        assert table.where("model = 'majority_baseline' AND lead <> 0").count() == 0
+        assert spark.read.parquet(f"{out}/compared/{name}_best").count() == conditions
+        assert spark.read.parquet(f"{out}/compared/{name}_best_overall").count() == 1
+        matrix = spark.read.parquet(f"{out}/compared/{name}_confusion")
+        assert matrix.count() == 6 * conditions
+    settings = {"majority_baseline": {}, "random_forest": {"n_estimators": 2, "max_depth": 2}}
+    stages.untuned_comparison(spark, f"{out}/model", f"{out}/plain", ["semester_week"], settings=settings)
+    assert spark.read.parquet(f"{out}/plain/untuned_results").count() == 2
     with pytest.raises(ValueError, match="nulls"):
         stages.untuned_comparison(spark, f"{out}/model", f"{out}/x", ["avg_rmssd"])
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelloom.operators import profile
+from panelloom.functions import scalars
+from panelloom.operators import clean, profile, split
 from panelloom.plans import panels
 from panelloom.plans.catalog.registry import DAILY, FEATURES, NUMERIC, PANEL, SPLIT, band, query
+from panelloom.session import cut_lineage
 from panelloom.spec import EVENTS
 
 ORDER = "(VALUES (0, 'Low'), (1, 'Medium'), (2, 'High')) AS names(label_order, label)"
@@ -380,9 +382,11 @@ _MODEL = f"""SELECT 'model' AS stage, split || '_' || name AS metric, CAST(value
 UNION ALL {_DUPLICATES} UNION ALL {_MODEL}""",
 )
 def stage_audit(spark, folder):
-    return profile.stage_audit(
-        panels.rows(spark, folder), panels.panel(spark, folder), panels.split_panel(spark, folder), EVENTS
-    )
+    """The stages one after the other, each table stored once; events are read in two passes, targets and days."""
+    rows = cut_lineage(panels.rows(spark, folder))
+    panel = cut_lineage(scalars.with_calendar(clean.resolve_duplicates(rows, EVENTS), EVENTS.day))
+    model = split.assign_split(panel, split.subject_split(panel, EVENTS), EVENTS)
+    return profile.stage_audit(rows, panel, model, EVENTS)
 
 
 ORDER_PANEL_SQL = """

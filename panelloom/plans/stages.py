@@ -70,7 +70,7 @@ def build(
     """
     readings = src.file_readings(spark, root, spec) if readings is None else readings
     rows = daily.subject_day_rows(readings, spec, src.FILE_MEASURES, *TARGET)
-    tables.write_table(rows, f"{out}/subject_day_rows")
+    tables.write_table(rows, f"{out}/subject_day_rows", order=spec.key)
     stored = spark.read.parquet(f"{out}/subject_day_rows")
     tables.write_audit(long_metrics(profile.panel_audit(stored, spec)), f"{out}/build_audit")
     if earlier is not None:
@@ -81,7 +81,7 @@ def build(
 def cleaning(spark: SparkSession, source: str, out: str, spec: PanelSpec = WEARABLE) -> None:
     """Stage 02: unique subject-days, profile of what was repeated, audit."""
     rows = spark.read.parquet(f"{source}/subject_day_rows")
-    tables.write_table(clean.resolve_duplicates(rows, spec), f"{out}/panel")
+    tables.write_table(clean.resolve_duplicates(rows, spec), f"{out}/panel", order=spec.key)
     tables.write_table(clean.duplicate_conflicts(rows, spec), f"{out}/duplicate_conflicts")
     panel = spark.read.parquet(f"{out}/panel")
     tables.write_audit(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,7 +38,16 @@ def with_panel_types(frame: DataFrame, spec: PanelSpec) -> DataFrame:
     return frame.select(*[frame[c].cast(wanted[c]).alias(c) if c in wanted else frame[c] for c in frame.columns])
 
 
-def write_table(frame: DataFrame, path: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> None:
+def write_table(
+    frame: DataFrame,
+    path: str,
+    partition_by: tuple[str, ...] = (),
+    fmt: str = "parquet",
+    order: Sequence[str] = (),
+) -> None:
+    """Write a table; with ``order`` sorted over all its files, each of which then holds one range."""
+    if order:
+        frame = frame.orderBy(*order)
     writer = frame.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).csv(path)

@@ -78,6 +78,15 @@ def test_data_stages(spark, root, tmp_path):
     assert spark.read.parquet(f"{out}/description/spearman").count() > 0
 
 
+def test_sorted_tables_hold_ranges(spark, tmp_path):
+    frame = spark.range(5000).selectExpr("CAST(id * 7919 % 5000 AS STRING) AS subject", "id % 13 AS day").repartition(6)
+    tables.write_table(frame, f"{tmp_path}/t", order=["subject", "day"])
+    read = spark.read.parquet(f"{tmp_path}/t").selectExpr("_metadata.file_name AS f", "subject")
+    ranges = sorted(map(tuple, read.groupBy("f").agg({"subject": "min"}).collect()))
+    ends = dict(map(tuple, read.groupBy("f").agg({"subject": "max"}).collect()))
+    assert all(ends[a] <= low for (a, _), (_, low) in zip(ranges, ranges[1:])) and read.count() == 5000
+
+
 def test_panel_csv_round_trip(spark, tmp_path):
     row = [("1", None, 3.0, "Low", None, *[None] * 12, None, True)]
     frame = spark.createDataFrame(row, tables.panel_schema(WEARABLE))

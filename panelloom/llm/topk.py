@@ -38,7 +38,8 @@ SCALE = 256
 EVERY = 50
 QUERY_BLOCK = 4_096
 CANDIDATE_BLOCK = 16_384
-STRIP = 2_048  # candidates looked at together
+STRIP = 256  # candidates looked at together
+PAIRS = 1 << 15  # pairs of vectors laid side by side, which bounds a task's memory
 SEGMENTS = (4, 16)
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
@@ -60,6 +61,15 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([*means, *spread], axis=1)
 
 
+def _products(q: np.ndarray, x: np.ndarray, asked: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, a bounded number of pairs at a time."""
+    out = np.empty(len(asked))
+    for at in range(0, len(asked), PAIRS):
+        part = slice(at, at + PAIRS)
+        out[part] = np.einsum("ij,ij->i", q[asked[part]], x[seen[part]])
+    return out
+
+
 def best(query_ids, q, ids, x, k: int):
     """Rows (query, candidate id, score) of the k best per query, with ties to the smaller id."""
     largest = max(1.0, float(np.abs(q).max(initial=0)), float(np.abs(x).max(initial=0)))
@@ -73,13 +83,15 @@ def best(query_ids, q, ids, x, k: int):
         (cq, cx), finer = levels[0], levels[1:]
         asked, seen = np.nonzero(cq @ cx[at:end].T + slack >= reach[:, None])
         for fq, fx in finer:
-            keep = np.einsum("ij,ij->i", fq[asked], fx[at + seen]) + slack >= reach[asked]
+            keep = _products(fq, fx, asked, at + seen) + slack >= reach[asked]
             asked, seen = asked[keep], seen[keep]
         seen = seen + at
         other = query_ids[asked] != ids[seen]
         asked, seen = asked[other], seen[other]
         if exact:
-            score = np.einsum("ij,ij->i", q[asked], x[seen])
+            score = _products(q, x, asked, seen)
+            near = score >= reach[asked]
+            asked, seen, score = asked[near], seen[near], score[near]
         else:
             score = np.array([sum(int(a) * int(b) for a, b in zip(q[i], x[j])) for i, j in zip(asked, seen)], object)
         asked, seen, score = (np.concatenate(pair) for pair in zip(top, (asked, seen, score)))

@@ -320,10 +320,11 @@ def encode_documents(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
         .agg(F.first("chunk").alias("chunk"))
         .mapInArrow(_encode_chunks(name), "hash binary, ids binary")
     )
-    encoded = cut_lineage(once.join(refs.groupBy("hash").agg(F.count("*").alias("uses")), "hash"))
+    encoded = cut_lineage(once)
+    uses = cut_lineage(refs.groupBy("hash").agg(F.count("*").alias("uses")))
     pieces = F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("pieces")
     done = (
-        attach(refs, encoded, "hash", "uses")
+        attach(refs, encoded, "hash", "uses", uses)
         .groupBy("digest")
         .agg(pieces)
         .mapInArrow(_assemble(name), "digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

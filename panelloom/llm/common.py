@@ -53,19 +53,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, sizes: DataFrame | None = None) -> DataFrame:
     """Join per-group columns to rows; ``size`` is the column with a group's rows.
 
+    ``sizes`` (key, size) may stand apart, so that wide groups need not be
+    joined to their sizes.
+
     Rows of one group may be a third of all. Groups above 1/HOT_SHARE of the
     total are at most HOT_SHARE and reach their rows by broadcast; the others
     are joined by a shuffle in which no key is large. Both sides are read
     twice, so pass frames that are cheap to read.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    counted = groups if sizes is None else sizes
+    total = counted.agg(F.sum(size)).first()[0] or 0
     large = F.col(size) * HOT_SHARE > total
-    hot = groups.where(large)
+    keys = F.broadcast(counted.where(large).select(key))
+    hot = groups.where(large) if sizes is None else groups.join(keys, key, "left_semi")
+    cold = groups.where(~large) if sizes is None else groups
     near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~large), key)
+    far = rows.join(keys, key, "left_anti").join(cold, key)
     return near.unionByName(far)
 
 

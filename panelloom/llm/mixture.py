@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelloom.llm.common import read, ready, whole_text
+from panelloom.llm.common import HOT_SHARE, cut_lineage, read, ready, whole_text
 
 PARTS = 3  # hex digits that cut a leaf into 4,096 even parts
 
@@ -79,11 +79,11 @@ def _divide(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def leaf_budgets(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """(domain, lang, source, tokens, full, rest): epochs taken whole, tokens of the next."""
+    """(domain, lang, source, docs, tokens, full, rest): epochs taken whole, tokens of the next."""
     leaves = (
         docs.select(*leaf_columns(mixture), tokens_of().alias("tokens"))
         .groupBy("domain", "lang", "source")
-        .agg(F.sum("tokens").alias("tokens"))
+        .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
         .withColumn("supply", F.col("tokens") * mixture.epochs)
     )
     supply = F.sum("supply").alias("supply")
@@ -102,7 +102,7 @@ def leaf_budgets(docs: DataFrame, mixture: Mixture) -> DataFrame:
     divided = _divide(sources, ["domain", "lang"]).withColumn("budget", got)
     full = F.when(F.col("tokens") > 0, F.least(F.lit(mixture.epochs), F.floor(F.try_divide(F.col("budget"), F.col("tokens")))))
     return divided.withColumn("full", F.coalesce(full, F.lit(0)).cast("int")).select(
-        "domain", "lang", "source", "tokens", "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest")
+        "domain", "lang", "source", "docs", "tokens", "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest")
     )
 
 
@@ -112,17 +112,22 @@ def _order(epoch: Column, doc_id: Column, seed: int) -> Column:
 
 
 def leaf_cuts(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """(domain, lang, source, full, last): the last place in the order that the prefix takes.
+    """(domain, lang, source, docs, full, last): the last place in the order that the prefix takes.
 
     Tokens are summed by part of the order first; only the part in which the
     prefix ends is looked at row by row, a few thousandths of a leaf.
     """
     keys = ["domain", "lang", "source"]
-    budgets = leaf_budgets(docs, mixture)
-    open_leaves = budgets.where((F.col("rest") > 0) & (F.col("full") < mixture.epochs)).select(*keys, "full", "rest")
+    budgets = cut_lineage(leaf_budgets(docs, mixture))
+    total = budgets.agg(F.sum("docs")).first()[0] or 0
+    open_leaves = budgets.where((F.col("rest") > 0) & (F.col("full") < mixture.epochs))
+    large = F.col("docs") * HOT_SHARE > total
+    hot, cold = (open_leaves.where(x).select(*keys, "full", "rest") for x in (large, ~large))
+    narrow = docs.select(*leaf_columns(mixture), F.col("doc_id"), tokens_of().alias("tokens"))
+    apart = narrow.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     placed = (
-        docs.select(*leaf_columns(mixture), F.col("doc_id"), tokens_of().alias("tokens"))
-        .join(open_leaves, keys)
+        narrow.join(F.broadcast(hot), keys)
+        .unionByName(apart.join(cold, keys))
         .withColumn("place", _order(F.col("full"), F.col("doc_id"), mixture.seed))
         .withColumn("part", F.substring("place", 1, PARTS))
     )
@@ -148,25 +153,29 @@ def leaf_cuts(docs: DataFrame, mixture: Mixture) -> DataFrame:
         .where(F.col("before") + F.col("sofar") < F.col("rest"))
     )
     last = inside.groupBy(*keys).agg(F.max("place").alias("last"))
-    return budgets.select(*keys, "full").join(last, keys, "left")
+    return budgets.select(*keys, "docs", "full").join(last, keys, "left")
 
 
 def mix(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """Rows of ``docs`` once per epoch in which they are taken, with a column ``_epoch``.
 
-    The rows themselves are only filtered: whether one is taken depends on its
-    leaf's row alone. That table has one row per leaf; Spark broadcasts it while
-    its measured size allows, and otherwise splits large leaves of the join.
+    Whether a row is taken depends on its leaf's row alone. Leaves with more
+    than 1/HOT_SHARE of the documents, at most HOT_SHARE, reach their rows by
+    broadcast, so that these rows stay where they are; the others are joined.
     """
-    cuts = leaf_cuts(docs, mixture)
-    names = ["_domain", "_lang", "_source", "_full", "_last"]
-    cuts = cuts.select(*[F.col(c).alias(f"_{c}") for c in ("domain", "lang", "source", "full", "last")])
+    names = ["_domain", "_lang", "_source", "_docs", "_full", "_last"]
+    cuts = cut_lineage(leaf_cuts(docs, mixture).toDF(*names))
+    total = cuts.agg(F.sum("_docs")).first()[0] or 0
+    large = F.col("_docs") * HOT_SHARE > total
     domain, lang, source = leaf_columns(mixture)
     same = (F.col("_domain") == domain) & (F.col("_lang") == lang) & (F.col("_source") == source)
     next_one = F.coalesce(_order(F.col("_full"), F.col("doc_id"), mixture.seed) <= F.col("_last"), F.lit(False))
     taken = F.col("_full") + next_one.cast("int")
+    hot = F.broadcast(cuts.where(large))
+    far = docs.join(hot, same, "left_anti").join(cuts.where(~large), same)
     return (
-        docs.join(cuts, same)
+        docs.join(hot, same)
+        .unionByName(far)
         .withColumn("_taken", taken)
         .where("_taken > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))

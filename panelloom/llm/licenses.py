@@ -1,11 +1,12 @@
 """Licence scan by Dice coefficient over word bigrams, in Spark expressions only.
 
-Units are the lines of a document and the document as a whole. A unit is
-normalised to lower-case words of letters, digits and dots inside a word, and
-compared by its set of word bigrams to each template. A Dice coefficient of t
-needs a set of at least n * t / (2 - t) and at most n * (2 - t) / t bigrams for
-a template of n, so templates of another size are never compared; units that
-fit no template's bounds are passed over before their bigrams are made.
+Units are the lines of a document and, where there are several, the document as
+a whole. A unit is normalised to lower-case words of letters and digits and
+compared by its bigrams, repeats counted, to each template. A Dice coefficient
+of t needs at least n * t / (2 - t) and at most n * (2 - t) / t bigrams for a
+template of n. A unit has one bigram less than words, so units that fit no
+template are passed over by counting blanks, and templates that do not fit a
+unit are never compared with it.
 
 Edge cases: null and empty texts, and units of fewer than two words, match no
 template. A document without a match is returned with a null licence. Of equal
@@ -15,6 +16,7 @@ scores the smaller template name wins. Rows repeated whole keep their number.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,59 +39,77 @@ TEMPLATES = {
     "mpl-2": "This work is licensed under the Mozilla Public License, version 2.0.",
     "public-domain": "This is free and unencumbered software released into the public domain.",
 }
-_NOT_WORD = r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\."
+_NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def bigrams(text: str) -> list[str]:
-    """The same normalisation in Python, for the templates."""
-    spaced = re.sub(r"[^\w.]+|_|\.(?!\w)|(?<!\w)\.", " ", text.lower())
-    words = spaced.split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
-
-
-def _words(unit: Column) -> Column:
-    """Normalised words of a unit; a blank unit has none."""
-    spaced = F.trim(F.regexp_replace(F.lower(unit), _NOT_WORD, " "))
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    """Bigrams of a template, repeats numbered, with the normalisation of ``scan``."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    seen: Counter[str] = Counter()
+    out = []
+    for a, b in zip(words, words[1:]):
+        seen[f"{a} {b}"] += 1
+        out.append(f"{a} {b} {seen[f'{a} {b}']}")
+    return out
 
 
 def bounds(n: int) -> tuple[float, float]:
+    """Least and greatest number of bigrams that can match a template of n."""
     return n * LEAST / (2 - LEAST), n * (2 - LEAST) / LEAST
 
 
+def _count(unit: Column) -> Column:
+    """Bigrams of a normalised unit: its single blanks."""
+    return F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
+
+
+def _bigrams(unit: Column) -> Column:
+    words = F.split(unit, " ", -1)
+    plain = F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1),
+        F.slice(words, F.lit(2), F.size(words) - 1),
+        lambda a, b: F.concat_ws(" ", a, b),
+    )
+
+    def numbered(x: Column, i: Column) -> Column:
+        times = F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda y: y == x))
+        return F.concat_ws(" ", x, times.cast("string"))
+
+    return F.transform(plain, numbered)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, license, score, matches): best template and number of units that match any."""
     shapes = {name: bigrams(text) for name, text in sorted(templates.items())}
-    least = min(bounds(len(b))[0] for b in shapes.values())
-    # Bigrams repeat, so only the lower bound can be told from the number of words.
-    units = docs.select(
+    low = min(bounds(len(b))[0] for b in shapes.values())
+    high = max(bounds(len(b))[1] for b in shapes.values())
+    fits_any = lambda n: n.between(F.lit(low), F.lit(high))
+    normal = docs.select("doc_id", F.regexp_replace(F.lower(whole_text()), _NOT_WORD, " ").alias("normal"))
+    lines = normal.select(
+        "doc_id", F.filter(F.transform(F.split("normal", "\n", -1), lambda x: F.trim(x)), lambda x: x != "").alias("lines")
+    )
+    total = F.aggregate("lines", F.lit(-1), lambda n, x: n + _count(x) + 1)
+    whole = F.when((F.size("lines") > 1) & fits_any(total), F.array(F.array_join("lines", " ")))
+    units = lines.select(
         "doc_id",
-        F.filter(
-            F.transform(F.concat(F.split(whole_text(), "\n", -1), F.array(whole_text())), lambda u: u), lambda u: u != ""
+        F.concat(
+            F.filter("lines", lambda x: fits_any(_count(x))), F.coalesce(whole, F.array().cast("array<string>"))
         ).alias("units"),
     )
-    listed = units.select("doc_id", F.transform("units", _words).alias("units"))
-    pairs = F.transform(
-        F.filter("units", lambda w: F.size(w) > least),
-        lambda w: F.array_distinct(
-            F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
-        ),
-    )
+    pairs = units.select("doc_id", F.transform("units", _bigrams).alias("pairs"))
 
     def best(b: Column) -> Column:
-        """Greatest (score, name) among the templates of fitting size."""
+        """Greatest score, then smallest name, among the templates of fitting size."""
         found = []
         for name, shape in shapes.items():
-            low, high = bounds(len(shape))
+            least, most = bounds(len(shape))
             common = F.size(F.array_intersect(b, F.array(*map(F.lit, shape))))
             dice = F.lit(2.0) * common / (F.size(b) + len(shape))
-            fits = F.size(b).between(F.lit(low), F.lit(high))
+            fits = F.size(b).between(F.lit(least), F.lit(most))
             found.append(F.when(fits, F.when(dice >= LEAST, F.struct((-dice).alias("d"), F.lit(name).alias("n")))))
         return F.array_min(F.array(*found))
 
-    hits = listed.select("doc_id", pairs.alias("pairs")).select(
-        "doc_id", F.filter(F.transform("pairs", best), lambda h: h.isNotNull()).alias("hits")
-    )
+    hits = pairs.select("doc_id", F.filter(F.transform("pairs", best), lambda h: h.isNotNull()).alias("hits"))
     top = F.array_min("hits")
     return hits.select(
         "doc_id",

@@ -192,12 +192,15 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def _components_of(rows: DataFrame) -> DataFrame:
-    """(print, component_id, members): rows are (doc_id, print), members counts rows of a print."""
+    """(print, root, component_id, members): rows are (doc_id, print), members counts rows of a print.
+
+    The root names a component; component_id may be null or shared by several.
+    """
     nodes = cut_lineage(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
     roots = components(links(nodes.select("print"))).withColumnRenamed("node", "print")
     rooted = cut_lineage(nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
-    return cut_lineage(attach(rooted, lowest, "root", "prints").select("print", "component_id", "members"))
+    return cut_lineage(attach(rooted, lowest, "root", "prints").select("print", "root", "component_id", "members"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,9 +222,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = _components_of(rows)
     # Only rows that carry their component's id can stay; those are few per component.
     named = rows.join(
-        found.select(F.col("print").alias("_print"), "component_id"),
+        found.select(F.col("print").alias("_print"), "root", "component_id"),
         (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("component_id")),
     )
-    counted = named.groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("copies"))
-    winners = counted.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("w"))
+    counted = named.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    winners = counted.groupBy("root").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("w"))
     return keep_rows(docs, winners.select("w.*"))

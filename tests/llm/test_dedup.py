@@ -105,6 +105,14 @@ def test_near_stage_keeps_one_of_each(spark, docs_of):
     assert sorted(set(ids)) == sorted({r["component_id"] for r in got if r["component_id"] is not None})
 
 
+def test_near_stage_keeps_unlike_texts_without_or_with_one_id(spark, docs_of):
+    unlike = ["the first text is about trees and rivers", "prices of copper rose again in march", "él no sabe nada de eso"]
+    rows = [(None, t) for t in unlike] + [(None, unlike[0])] + [(7, "a song of the sea at night"), (7, "how to bake bread at home")]
+    rows += [(3, "seven blue ships went out"), (3, "no two of these are alike"), (8, "seven blue ships went out")]
+    kept = simhash.stage(spark, docs_of(rows), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(set(rows[:-1]), key=str)
+
+
 def slow_exact(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:

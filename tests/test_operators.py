@@ -161,6 +161,22 @@ def test_past_features_do_not_leak(spark):
     assert temporal.past_only_violations(bad, SMALL, ["x"]).first()[0] > 0
 
 
+def test_past_only_checks_reach_every_feature(spark):
+    from __spark_entry__ import queries
+    from panelloom.plans.catalog.registry import FEATURES
+    from tests.check_queries import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    seen = {"intact": {}, "leaking": {}}
+    for name in [n for n in queries() if n.startswith("past_only_check")]:
+        assert compare(spark, connect(folder), name, folder)[2] == "ok"
+        for r in queries()[name](spark, folder).collect():
+            seen[r["subject_table"]][r["feature"]] = r["violations"]
+    wanted = {f"{f}{k}" for f in FEATURES for k in temporal.ALL_KINDS}
+    assert set(seen["intact"]) == set(seen["leaking"]) == wanted
+    assert not any(seen["intact"].values())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_quantiles_and_ranks_against_brute_force(spark, seed):
     rng = random.Random(seed)

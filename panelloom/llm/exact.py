@@ -28,7 +28,7 @@ from panelloom.llm.common import attach, cut_lineage, identified, keep_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Digests per bucket: a bucket row is about 0.4 MB, however many there are.
+# Digests per bucket, of the history or of the new ones: a bucket row is about 0.4 MB.
 BUCKET_KEYS = 8_192
 NO_ID = -(2**63)
 INDEX = "bucket int, sizes array<int>, levels array<binary>, digests binary, winners binary, rows binary"
@@ -169,8 +169,9 @@ def merge_groups(index: DataFrame, new: DataFrame, buckets: int) -> DataFrame:
 def exact_groups(rows: DataFrame, historical) -> DataFrame:
     """Groups of all rows (doc_id, digest); ``historical`` says which rows came before."""
     old = cut_lineage(grouped(rows.where(historical)))
-    buckets = max(1, math.ceil(old.count() / BUCKET_KEYS))
-    return merge_groups(build_index(old, buckets), grouped(rows.where(~historical)), buckets)
+    new = cut_lineage(grouped(rows.where(~historical)))
+    buckets = max(1, math.ceil(max(old.count(), new.count()) / BUCKET_KEYS))
+    return merge_groups(build_index(old, buckets), new, buckets)
 
 
 def seen_before(share: float = 0.5):

@@ -139,6 +139,17 @@ def test_exact_dedup_of_nothing_and_hot_group(docs_of):
     assert sorted((tuple(r) for r in exact.exact_dedup(docs_of(rows)).collect()), key=str) == slow_exact(rows)
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_exact_buckets_grow_with_either_side(docs_of, monkeypatch, share):
+    used, merge = [], exact.merge_groups
+    monkeypatch.setattr(exact, "BUCKET_KEYS", 10)
+    monkeypatch.setattr(exact, "merge_groups", lambda i, n, buckets: used.append(buckets) or merge(i, n, buckets))
+    rows = [(i, f"text {i % 95}") for i in range(190)]
+    got = exact.exact_dedup(docs_of(rows), exact.seen_before(share)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == slow_exact(rows)
+    assert used == [10]
+
+
 def test_exact_stage(spark, docs_of):
     docs = docs_of(ODD)
     kept = exact.stage(spark, docs, "")

@@ -10,8 +10,11 @@ words and word beginnings, that a bounded sample of labelled rows has shown to
 mark toxic texts; the score is the chance that at least one of the features
 found makes the text toxic, by its share of toxic texts in the sample.
 
-Only words whose skeleton (marks dropped, look-alikes merged, runs collapsed)
-is that of a feature can be restored to one, so only those are decoded.
+Only what holds the skeleton of a feature (blanks and marks dropped, look-alikes
+merged, runs collapsed) can be restored to it, so only that is decoded: words,
+parts of words between marks, and pieces apart by any blanks, each out to the
+next sign that is no letter or digit. Signs that may stand for a letter are
+taken as letters throughout a written word, or dropped throughout it.
 
 Edge cases: null and empty texts hold no feature and get the lowest score.
 Documents with several label rows count as toxic if one says so; null labels
@@ -151,7 +154,47 @@ def _alike() -> bytes:
 _DROPPED = MARKS.encode()
 _END_MARKS = re.compile(rb"[!$+|(@]+(?=[\s" + re.escape(_DROPPED) + rb"]|$)")
 _RUN = re.compile(rb"([^ ])\1+")
-_GAPS = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}[^\w\s]*(?!\S)")
+_GAPS = re.compile(r"(?<!\S)\S(?:\s+\S){2,}[^\w\s]*(?!\S)")
+SIGNS = "@$!|+("
+
+
+def _classes(signs: bool) -> np.ndarray:
+    """Class of each code point up to U+FFFF: 0 dropped, a letter's code, 1 other letters."""
+    alike, out = _alike(), np.zeros(1 << 16, np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        if c.isalnum():
+            out[code] = alike[code] if code < 0x80 else code if code < 0x100 else 1
+    if signs:
+        out[[ord(c) for c in SIGNS]] = [alike[ord(c)] for c in SIGNS]
+    return out
+
+
+def _squeeze(text: str, classes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The skeleton of a whole text, the places kept, and the first of them in each run."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    mapped = classes[np.minimum(codes, 0xFFFF)]
+    kept = np.flatnonzero(mapped)
+    mapped = mapped[kept]
+    first = np.flatnonzero(np.concatenate([[True], mapped[1:] != mapped[:-1]])) if len(kept) else kept
+    return mapped[first].tobytes(), kept, first
+
+
+def _any_of(shapes: set[bytes]) -> re.Pattern | None:
+    """Finds every place where one of the shapes begins; they share a tree of beginnings."""
+    if not shapes:
+        return None
+
+    def tree(some: list[bytes]) -> bytes:
+        if b"" in some:
+            return b""
+        heads: dict[bytes, list[bytes]] = {}
+        for s in some:
+            heads.setdefault(s[:1], []).append(s[1:])
+        parts = [re.escape(h) + tree(rest) for h, rest in sorted(heads.items())]
+        return parts[0] if len(parts) == 1 else b"(?:" + b"|".join(parts) + b")"
+
+    return re.compile(b"(?=" + tree(sorted(shapes)) + b")")
 
 
 def skeleton(lower: bytes, table: bytes) -> bytes:
@@ -247,6 +290,12 @@ class Scorer:
         self.starts = {self._shape(s.encode()) for s in starts} - {b""}
         self.lengths = sorted({len(s) for s in self.starts})
         self.parts = sorted(self.words | self.starts)
+        self.classes = [_classes(True), _classes(False)]
+        self.wide_words = {self._wide(w) for w in words} - {b""}
+        self.wide_starts = {self._wide(s) for s in starts} - {b""}
+        wide = self.wide_words | self.wide_starts
+        self.spread, self.spans, self.known = _any_of(wide), sorted({len(s) for s in wide}), wide
+        self.within: dict[str, set[str]] = {}
 
     def _restored(self, written: str) -> list[str]:
         if written not in self.decoded:
@@ -262,6 +311,49 @@ class Scorer:
         shape = self._shape(lower)
         return shape in self.words or any(shape[:n] in self.starts for n in self.lengths)
 
+    def _wide(self, text: str, variant: int = 0) -> bytes:
+        return _squeeze(text, self.classes[variant])[0]
+
+    def _written(self, lower: str, variant: int) -> set[str]:
+        """Places that hold a feature's skeleton, each out to the next sign that is no letter or digit."""
+        shape, kept, first = _squeeze(lower, self.classes[variant])
+        out = set()
+        for at in (m.start() for m in self.spread.finditer(shape)):
+            for length in self.spans:
+                part = shape[at : at + length]
+                if len(part) < length or part not in self.known:
+                    continue
+                # Of the outer runs only what is next to the others: neighbours may have joined them.
+                begin = int(kept[first[at + 1] - 1] if length > 1 else kept[first[at]])
+                end = int(kept[first[at + length - 1]]) + 1
+                while begin and lower[begin - 1] == lower[begin]:
+                    begin -= 1
+                while end < len(lower) and lower[end] == lower[end - 1]:
+                    end += 1
+                while begin and lower[begin - 1].isalnum():
+                    begin -= 1
+                whole = end
+                while end < len(lower) and lower[end].isalnum():
+                    end += 1
+                out.add(lower[begin:end])
+                if end == whole and part in self.wide_starts:  # a beginning alone: the rest may stand apart
+                    rest = re.match(r"[\W_]+[^\W_]+", lower[end : end + 64])
+                    if rest:
+                        out.add(lower[begin:end] + rest[0])
+        return out
+
+    def _features_in(self, written: str, variant: int) -> set[str]:
+        """Features that a piece of text is or begins with, as written and as restored."""
+        shape = self._wide(written, variant)
+        if shape not in self.wide_words and not any(shape[:n] in self.wide_starts for n in self.spans):
+            return set()
+        if written not in self.within:
+            if len(self.within) > 50_000:
+                self.within.clear()
+            words = [written, *self._restored(written)]
+            self.within[written] = {f for w in words for f in _beginnings(w) if f in self.weights}
+        return self.within[written]
+
     def found(self, data: bytes) -> set[str]:
         features: set[str] = set()
         lower = data.lower()
@@ -282,7 +374,13 @@ class Scorer:
                     for core in {cut.decode("utf-8", "replace").strip(MARKS), written.strip(MARKS)}:
                         for word in [core, *self._restored(core)]:
                             features.update(f for f in _beginnings(word) if f in self.weights)
-        for run in _GAPS.findall(text if text is not None else data.decode("utf-8", "replace")):
+        text = text if text is not None else data.decode("utf-8", "replace")
+        if self.spread is not None:
+            small = text.lower()
+            for variant in (0, 1) if any(c in small for c in SIGNS) else (0,):
+                for written in self._written(small, variant):
+                    features |= self._features_in(written, variant)
+        for run in _GAPS.findall(text):
             run = run.rstrip(MARKS + "!$+|(@ ")
             shape = _RUN.sub(rb"\1", b"".join(self._shape(run.lower().encode()).split()))
             if any(p in shape for p in self.parts):

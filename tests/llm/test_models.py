@@ -74,6 +74,21 @@ def test_obfuscated_words_are_found(scorer, written):
     assert scorer.score(f"Is and retitioning of the {written} it and the on".encode()) >= 0.5
 
 
+@pytest.mark.parametrize(
+    "written",
+    ["(idiot)", "@moron", "you,idiot", "stupid-idiot", "idiot/moron", "you...idiot", "“idiot”", "idiot…", "—moron—", "(1d1ot)",
+     "i  d  i  o  t", "i\nd\ni\no\nt", "i\r\nd\r\ni\r\no\r\nt", "id iot", "mo ron", "m0 r0n", "hi idiot the", "\"!d!0t!\"", "you,i.d.i.o.t",
+     "idiot\u00a0", "🙂moron🙂"],
+)
+def test_words_behind_marks_and_in_pieces_are_found(scorer, written):
+    assert scorer.score(f"Is and retitioning of the {written} it and the on".encode()) >= 0.5
+
+
+@pytest.mark.parametrize("text", ["avoid iota and hello serve", "video, is it", "the idiom-of moronic (idiotx)", "a (b) c|d", "!" * 50_000])
+def test_clean_pieces_are_left_alone(scorer, text):
+    assert scorer.score(text.encode()) < 0.5
+
+
 @pytest.mark.parametrize(
     "text",
     ["", "Is and retitioning ouen the of", "call +49 (151) 555-0100 or 192.168.0.1", "a b c d e f g", "ä ä ä ä ä",

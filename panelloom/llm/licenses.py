@@ -8,6 +8,12 @@ template of n. A unit has one bigram less than words, so units that fit no
 template are passed over by counting blanks, and templates that do not fit a
 unit are never compared with it.
 
+``scan`` compares units alone. ``scan_all`` also compares windows of each
+template's word count over the words that no unit has claimed, line ends as
+blanks, so that a notice may be wrapped or stand among other words. A window of
+Dice t lacks few bigrams of its template, so of the longest ones, one more than
+may be lacking, it holds at least one: only windows around these are compared.
+
 Edge cases: null and empty texts, and units of fewer than two words, match no
 template. A document without a match is returned with a null licence. Of equal
 scores the smaller template name wins. Rows repeated whole keep their number.
@@ -15,6 +21,7 @@ scores the smaller template name wins. Rows repeated whole keep their number.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -63,14 +70,15 @@ def _count(unit: Column) -> Column:
     return F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
 
 
-def _bigrams(unit: Column) -> Column:
-    words = F.split(unit, " ", -1)
-    plain = F.zip_with(
+def _plain(words: Column) -> Column:
+    return F.zip_with(
         F.slice(words, F.lit(1), F.size(words) - 1),
         F.slice(words, F.lit(2), F.size(words) - 1),
         lambda a, b: F.concat_ws(" ", a, b),
     )
 
+
+def _numbered(plain: Column) -> Column:
     def numbered(x: Column, i: Column) -> Column:
         times = F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda y: y == x))
         return F.concat_ws(" ", x, times.cast("string"))
@@ -78,9 +86,19 @@ def _bigrams(unit: Column) -> Column:
     return F.transform(plain, numbered)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, license, score, matches): best template and number of units that match any."""
-    shapes = {name: bigrams(text) for name, text in sorted(templates.items())}
+def _bigrams(unit: Column) -> Column:
+    return _numbered(_plain(F.split(unit, " ", -1)))
+
+
+def anchors(shape: list[str]) -> list[str]:
+    """Bigrams of which every window that reaches LEAST holds at least one."""
+    lacking = len(shape) - math.ceil(LEAST * len(shape) - 1e-9)
+    plain = sorted({b.rsplit(" ", 1)[0] for b in shape}, key=lambda b: (-len(b), b))
+    return plain[: lacking + 1]
+
+
+def _unit_hits(docs: DataFrame, shapes: dict[str, list[str]]) -> DataFrame:
+    """(doc_id, lines, line_hits, hits): hits of each line, null where none, and those of all units."""
     low = min(bounds(len(b))[0] for b in shapes.values())
     high = max(bounds(len(b))[1] for b in shapes.values())
     fits_any = lambda n: n.between(F.lit(low), F.lit(high))
@@ -90,13 +108,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     )
     total = F.aggregate("lines", F.lit(-1), lambda n, x: n + _count(x) + 1)
     whole = F.when((F.size("lines") > 1) & fits_any(total), F.array(F.array_join("lines", " ")))
-    units = lines.select(
+    units = lines.select("doc_id", "lines", F.coalesce(whole, F.array().cast("array<string>")).alias("whole"))
+    pairs = units.select(
         "doc_id",
-        F.concat(
-            F.filter("lines", lambda x: fits_any(_count(x))), F.coalesce(whole, F.array().cast("array<string>"))
-        ).alias("units"),
+        "lines",
+        F.transform("lines", lambda x: F.when(fits_any(_count(x)), _bigrams(x))).alias("line_pairs"),
+        F.transform("whole", _bigrams).alias("whole_pairs"),
     )
-    pairs = units.select("doc_id", F.transform("units", _bigrams).alias("pairs"))
 
     def best(b: Column) -> Column:
         """Greatest score, then smallest name, among the templates of fitting size."""
@@ -109,15 +127,79 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             found.append(F.when(fits, F.when(dice >= LEAST, F.struct((-dice).alias("d"), F.lit(name).alias("n")))))
         return F.array_min(F.array(*found))
 
-    hits = pairs.select("doc_id", F.filter(F.transform("pairs", best), lambda h: h.isNotNull()).alias("hits"))
+    met = pairs.select(
+        "doc_id",
+        "lines",
+        F.transform("line_pairs", lambda b: F.when(b.isNotNull(), best(b))).alias("line_hits"),
+        F.filter(F.transform("whole_pairs", best), lambda h: h.isNotNull()).alias("whole_hits"),
+    )
+    hits = F.concat(F.filter("line_hits", lambda h: h.isNotNull()), "whole_hits")
+    return met.select("doc_id", "lines", "line_hits", "whole_hits", hits.alias("hits"))
+
+
+def _result(hits: DataFrame, matches: Column) -> DataFrame:
     top = F.array_min("hits")
     return hits.select(
         "doc_id",
         top["n"].alias("license"),
         F.round(-top["d"], 6).alias("score"),
-        F.size("hits").cast("bigint").alias("matches"),
+        matches.cast("bigint").alias("matches"),
+    )
+
+
+def _shapes(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {name: bigrams(text) for name, text in sorted(templates.items())}
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(doc_id, license, score, matches): best template and number of units that match any."""
+    return _result(_unit_hits(docs, _shapes(templates)), F.size("hits"))
+
+
+def _window_hits(name: str, shape: list[str]) -> Column:
+    """Windows over the column ``plain`` of bigrams that match the template: (d, n, at, end)."""
+    m, size = len(shape), F.size("plain")
+    wanted = F.array(*map(F.lit, shape))
+    near = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("plain", i).isin(anchors(shape)))
+    starts = F.array_distinct(
+        F.flatten(F.transform(near, lambda i: F.sequence(F.greatest(i - (m - 1), F.lit(0)), F.least(i, size - m))))
+    )
+
+    def compared(at: Column) -> Column:
+        common = F.size(F.array_intersect(_numbered(F.slice("plain", at + 1, F.lit(m))), wanted))
+        return F.struct((-common / F.lit(float(m))).alias("d"), F.lit(name).alias("n"), at.alias("at"), (at + m + 1).alias("end"))
+
+    found = F.filter(F.transform(starts, compared), lambda h: h["d"] <= -LEAST)
+    return F.when(size >= m, found).otherwise(F.array().cast(WINDOW))
+
+
+WINDOW = "array<struct<d:double,n:string,at:int,end:int>>"
+
+
+def scan_all(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """As ``scan``, with windows in what no unit matched; windows that overlap count as one match."""
+    shapes = _shapes(templates)
+    some = "|".join(sorted({a for shape in shapes.values() for a in anchors(shape)}))
+    # A line that matched is a break no bigram reaches over.
+    rest = F.array_join(F.zip_with("lines", "line_hits", lambda x, h: F.when(h.isNull(), x).otherwise("\n")), " ")
+    open_ = _unit_hits(docs, shapes).select("doc_id", "hits", F.when(F.size("whole_hits") == 0, rest).alias("rest"))
+    entered = F.concat(F.lit(" "), "rest", F.lit(" ")).rlike(f" (?:{some}) ")
+    plain = open_.select("doc_id", "hits", F.when(entered, _plain(F.split("rest", " ", -1))).alias("plain"))
+    windows = F.when(F.size("plain") > 0, F.concat(*[_window_hits(n, b) for n, b in shapes.items()]))
+    found = plain.select("doc_id", "hits", F.coalesce(windows, F.array().cast(WINDOW)).alias("windows"))
+    ordered = F.sort_array(F.transform("windows", lambda w: F.struct(w["at"].alias("at"), w["end"].alias("end"))))
+    apart = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+        lambda s, w: F.struct(
+            F.greatest(s["end"], w["end"]).alias("end"), (s["n"] + F.when(w["at"] >= s["end"], 1).otherwise(0)).alias("n")
+        ),
+        lambda s: s["n"],
     )
+    both = F.concat("hits", F.transform("windows", lambda w: F.struct(w["d"].alias("d"), w["n"].alias("n"))))
+    counted = found.select("doc_id", both.alias("hits"), (F.size("hits") + apart).alias("_matches"))
+    return _result(counted, F.col("_matches"))
 
 
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return scan(read(spark, folder, "documents"))
+    return scan_all(read(spark, folder, "documents"))

@@ -207,6 +207,49 @@ def test_licenses_of_the_table(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def slow_windows(text):
+    lines = [" ".join(licenses.re.findall(r"[^\W_]+", x.lower())) for x in (text or "").split("\n")]
+    lines = [x for x in lines if x]
+    name, score, matches = slow_license(text)
+    if len(lines) > 1 and slow_license(" ".join(lines))[0]:
+        return name, score, matches
+    words = " ".join("\n" if slow_license(x)[0] else x for x in lines).split(" ")
+    best, spans = [(-score, name)] if name else [], []
+    for key, template in licenses.TEMPLATES.items():
+        t = Counter(w.rsplit(" ", 1)[0] for w in licenses.bigrams(template))
+        n = t.total()
+        for at in range(len(words) - n):
+            b = Counter(f"{x} {y}" for x, y in zip(words[at : at + n], words[at + 1 : at + n + 1]))
+            if (b & t).total() / n >= licenses.LEAST:
+                best.append((-(b & t).total() / n, key))
+                spans.append((at, at + n + 1))
+    end = 0
+    for a, b in sorted(spans):
+        matches, end = matches + (a >= end), max(end, b)
+    return (min(best)[1], round(-min(best)[0], 6), matches) if best else (None, None, matches)
+
+
+def test_licenses_among_other_words(spark, docs_of):
+    gpl = "This work is licensed under the GNU\nGeneral Public License, version 3."
+    texts = ["Copyright 2024 Acme Inc. All rights reserved.", "Some sentence before it. Released under the MIT License.",
+             f"One line.\nAnother line about nothing.\n{gpl}\nAnd more of it.", f"// {gpl}".replace("\n", "\n// ") + "\n" + "x y z\n" * 20,
+             "Released under the MIT License.\nFoo bar. All rights\nreserved. Baz.", "we all have rights and reserved seats for the mit team",
+             "all rights reserved " * 3, "The license version 2 0 licensed under the Apache License version 2.0 and so on and on and on", None, ""]
+    got = licenses.scan_all(docs_of(list(enumerate(texts)))).collect()
+    named = {r["doc_id"]: r["license"] for r in got}
+    assert [named[i] for i in range(6)] == ["all-rights", "mit", "gpl-3", "gpl-3", "all-rights", None]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *slow_windows(t)) for i, t in enumerate(texts)), key=str)
+
+
+def test_query_licenses_of_the_table(spark):
+    docs = read(spark, SMALL, "documents")
+    frame = licenses.op6_licenses(spark, SMALL)
+    wanted = [(r["doc_id"], *slow_windows(r["text"])) for r in docs.collect()]
+    assert sorted((tuple(r) for r in frame.collect()), key=str) == sorted(wanted, key=str)
+    plan = frame._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from panelloom.llm import toxicity

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelloom.llm import bpe, chat, exact, licenses, mixture, quality, shards, simhash, topk, toxicity
+from panelloom.llm import bpe, chat, exact, licenses, mixture, prefixes, quality, shards, simhash, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         toxicity.op8_toxicity,
         topk.op9_topk,
         chat.op10_chat_format,
+        prefixes.op11_prefix_trie,
     )
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op7_exact_dedup": exact.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_prefix_trie": prefixes.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelloom.llm import bpe, chat, exact, licenses, mixture, prefixes, quality, shards, simhash, topk, toxicity
+from panelloom.llm import bpe, chat, exact, licenses, mixture, prefixes, quality, repair, shards, simhash, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         topk.op9_topk,
         chat.op10_chat_format,
         prefixes.op11_prefix_trie,
+        repair.op12_conversation_repair,
     )
 }
 
@@ -27,4 +28,5 @@ ORACLES = {
     "op9_topk": topk.ORACLE,
     "op10_chat_format": chat.ORACLE,
     "op11_prefix_trie": prefixes.ORACLE,
+    "op12_conversation_repair": repair.ORACLE,
 }

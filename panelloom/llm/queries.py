@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelloom.llm import bpe, chat, exact, licenses, mixture, prefixes, quality, repair, shards, simhash, topk, toxicity
+from panelloom.llm import bpe, chat, exact, fingerprints, licenses, mixture, prefixes, quality, repair, shards, simhash, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         chat.op10_chat_format,
         prefixes.op11_prefix_trie,
         repair.op12_conversation_repair,
+        fingerprints.op13_fingerprints,
     )
 }
 

@@ -10,6 +10,8 @@ words and word beginnings, that a bounded sample of labelled rows has shown to
 mark toxic texts; the score is the chance that at least one of the features
 found makes the text toxic, by its share of toxic texts in the sample.
 
+Letters under accents may stand for the bare ones. A restored word matches a
+feature that differs in the length of runs if the lattice admits that reading.
 Only what holds the skeleton of a feature (blanks and marks dropped, look-alikes
 merged, runs collapsed) can be restored to it, so only that is decoded: words,
 parts of words between marks, and pieces apart by any blanks, each out to the
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +37,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import cut_lineage, held_out, identified, read, ready, whole_text
+from panelloom.llm.common import cut_lineage, held_out, identified, read, ready, whole_text, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Labelled rows that the features and weights are learnt from, at most.
 MAX_LABELLED = 20_000
-MAX_FEATURES = 400
-# A feature needs so many toxic texts, at least this share of them, and among
-# the texts that hold it this share of toxic ones; z compares its two rates.
-LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION, LEAST_Z = 5, 0.01, 0.9, 2.8
+# A feature needs so many toxic texts and, among the texts that hold it, this
+# share of toxic ones; z compares its two rates.
+LEAST_DOCS, LEAST_PRECISION, LEAST_Z = 5, 0.9, 2.8
 PREFIXES = (4, 5, 6)
 REJECT = 0.5
 
@@ -55,7 +57,7 @@ LEET = {
 MARKS = ".,;:-_*'\"`~^/\\#%&=?<>[]{})"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SIDE = 64  # symbols of the trigram model: a boundary, the letters, others
-CHANNEL = {"leet": -1.0, "lost": -12.0, "run": -0.7, "gap": -0.7}
+CHANNEL = {"leet": -1.0, "lost": -12.0, "run": -0.7, "gap": -0.7, "accent": -1.5}
 
 
 def _symbols() -> np.ndarray:
@@ -101,6 +103,12 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _bare(c: str) -> str:
+    """The letter under an accent, or the sign itself."""
+    first = unicodedata.normalize("NFD", c)[:1]
+    return first if first.isascii() and first.isalpha() else c
+
+
 def lattice(written: str) -> list[list[tuple[str, float]]]:
     """Readings (letters, log-probability) of each run of one symbol."""
     out = []
@@ -114,6 +122,8 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
             readings = [(" ", 0.0), ("", CHANNEL["gap"])]
         elif c.isalpha():
             readings = [(c * m, p) for m, p in times]
+            if (bare := _bare(c)) != c:
+                readings += [(bare * m, CHANNEL["accent"] + p) for m, p in times]
         else:
             readings = [("", 0.0)]
         out.append(readings)
@@ -139,6 +149,31 @@ def decode(written: str, model: np.ndarray) -> str:
     return max(states.values())[1].rstrip(" ")
 
 
+def once(word: str) -> str:
+    """A word with runs of one letter collapsed."""
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
+def admits(written: str, feature: str) -> bool:
+    """Whether the lattice holds a reading that is the feature, or begins with it for a beginning."""
+    start = feature.endswith("~")
+    letters = feature.removesuffix("~")
+    reached = {0}
+    for readings in lattice(written):
+        ahead = set()
+        for at in reached:
+            for said, _ in readings:
+                said = said.strip(" ")
+                if letters.startswith(said, at):
+                    ahead.add(at + len(said))
+                elif start and said.startswith(letters[at:]):
+                    return True
+        reached = ahead
+        if start and len(letters) in reached:
+            return True
+    return len(letters) in reached
+
+
 def _alike() -> bytes:
     """Translation that merges look-alikes: digits and signs, and the letters they stand for."""
     same = {"i": "1!|l", "o": "0", "z": "2", "e": "3", "a": "4@", "s": "5$", "t": "7+", "b": "869g", "c": "("}
@@ -155,6 +190,7 @@ _DROPPED = MARKS.encode()
 _END_MARKS = re.compile(rb"[!$+|(@]+(?=[\s" + re.escape(_DROPPED) + rb"]|$)")
 _RUN = re.compile(rb"([^ ])\1+")
 _GAPS = re.compile(r"(?<!\S)\S(?:\s+\S){2,}[^\w\s]*(?!\S)")
+_NEXT = re.compile(r"[\W_]+[^\W_]+")
 SIGNS = "@$!|+("
 
 
@@ -164,7 +200,8 @@ def _classes(signs: bool) -> np.ndarray:
     for code in range(1 << 16):
         c = chr(code)
         if c.isalnum():
-            out[code] = alike[code] if code < 0x80 else code if code < 0x100 else 1
+            bare = ord(_bare(c.lower()))
+            out[code] = alike[bare] if bare < 0x80 else code if code < 0x100 else 1
     if signs:
         out[[ord(c) for c in SIGNS]] = [alike[ord(c)] for c in SIGNS]
     return out
@@ -254,12 +291,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
         found.select("toxic", F.explode("features").alias("feature"))
         .groupBy("feature")
         .agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-        .where((a >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (a >= LEAST_PRECISION * F.col("n")))
-        .withColumn("z", z)
-        .where(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "feature")
-        .limit(MAX_FEATURES)
+        .where((a >= LEAST_DOCS) & (a >= LEAST_PRECISION * F.col("n")) & (z >= LEAST_Z))
+        .orderBy("feature")
     )
+    # Every one occurs in LEAST_DOCS texts of the bounded sample at least.
     chosen = most_specific({r["feature"]: (r["a"], r["n"]) for r in counted.collect()})
     known = F.array(*map(F.lit, chosen)).cast("array<string>")
     rest = found.where(~F.arrays_overlap("features", known))
@@ -290,12 +325,34 @@ class Scorer:
         self.starts = {self._shape(s.encode()) for s in starts} - {b""}
         self.lengths = sorted({len(s) for s in self.starts})
         self.parts = sorted(self.words | self.starts)
-        self.classes = [_classes(True), _classes(False)]
+        self.classes = [worker_cache(f"classes_{signs}", lambda signs=signs: _classes(signs)) for signs in (True, False)]
         self.wide_words = {self._wide(w) for w in words} - {b""}
         self.wide_starts = {self._wide(s) for s in starts} - {b""}
         wide = self.wide_words | self.wide_starts
         self.spread, self.spans, self.known = _any_of(wide), sorted({len(s) for s in wide}), wide
         self.within: dict[str, set[str]] = {}
+        self.by_once: dict[str, list[str]] = {}
+        for f in weights:
+            self.by_once.setdefault(once(f), []).append(f)
+
+    def _named(self, written: str) -> set[str]:
+        """Features that a piece is or begins with, as written and as restored.
+
+        The model may prefer one letter where two were meant: restored words and
+        features are compared with runs collapsed, and what then agrees must be
+        a reading of the piece.
+        """
+        found = {f for w in (written, *self._restored(written)) for f in _beginnings(w) if f in self.weights}
+        for word in self._restored(written):
+            bare = once(word)
+            for f in self.by_once.get(bare, []):
+                if f and f not in found and admits(written, f):
+                    found.add(f)
+            for n in range(1, len(bare) + 1):
+                for f in self.by_once.get(bare[:n] + "~", []):
+                    if f not in found and len(word) >= len(f) and admits(written, f):
+                        found.add(f)
+        return found
 
     def _restored(self, written: str) -> list[str]:
         if written not in self.decoded:
@@ -337,7 +394,7 @@ class Scorer:
                     end += 1
                 out.add(lower[begin:end])
                 if end == whole and part in self.wide_starts:  # a beginning alone: the rest may stand apart
-                    rest = re.match(r"[\W_]+[^\W_]+", lower[end : end + 64])
+                    rest = _NEXT.match(lower, end)
                     if rest:
                         out.add(lower[begin:end] + rest[0])
         return out
@@ -350,8 +407,7 @@ class Scorer:
         if written not in self.within:
             if len(self.within) > 50_000:
                 self.within.clear()
-            words = [written, *self._restored(written)]
-            self.within[written] = {f for w in words for f in _beginnings(w) if f in self.weights}
+            self.within[written] = self._named(written)
         return self.within[written]
 
     def found(self, data: bytes) -> set[str]:
@@ -372,8 +428,7 @@ class Scorer:
                 cut = _END_MARKS.sub(b"", raw)
                 if self._suspect(raw) or self._suspect(cut):
                     for core in {cut.decode("utf-8", "replace").strip(MARKS), written.strip(MARKS)}:
-                        for word in [core, *self._restored(core)]:
-                            features.update(f for f in _beginnings(word) if f in self.weights)
+                        features |= self._named(core)
         text = text if text is not None else data.decode("utf-8", "replace")
         if self.spread is not None:
             small = text.lower()
@@ -384,8 +439,7 @@ class Scorer:
             run = run.rstrip(MARKS + "!$+|(@ ")
             shape = _RUN.sub(rb"\1", b"".join(self._shape(run.lower().encode()).split()))
             if any(p in shape for p in self.parts):
-                for word in self._restored(run.lower()):
-                    features.update(f for f in _beginnings(word) if f in self.weights)
+                features |= self._named(run.lower())
         return features
 
     def score(self, data: bytes) -> float:

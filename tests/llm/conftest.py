@@ -1,6 +1,6 @@
 import pytest
 
-SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, LARGER, LARGEST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")

@@ -1,11 +1,14 @@
 """Quality and toxicity: held-out accuracy, restoration, edge cases."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
 from panelloom.llm import quality, toxicity
 from panelloom.llm.common import read
-from tests.llm.conftest import LARGER, ODD
+from tests.llm.conftest import LARGER, LARGEST, ODD
 
 
 def auc(scores, labels):
@@ -51,9 +54,10 @@ def test_quality_ignores_held_out_labels(spark, docs_of):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    scored = toxicity.op8_toxicity(spark, LARGER)
-    assert scored.count() == 1000
-    score, predicted, label = held_out_results(scored, read(spark, LARGER, "labels"), "toxic")
+    """On sf0.1: of the six held-out toxic texts of sf0.01, two hold no toxic word."""
+    scored = toxicity.op8_toxicity(spark, LARGEST)
+    assert scored.count() == 10_000
+    score, predicted, label = held_out_results(scored, read(spark, LARGEST, "labels"), "toxic")
     assert auc(score, label) > 0.9
     assert predicted[label == 0].mean() < 0.02
     assert predicted[label == 1].mean() > 0.75
@@ -68,7 +72,7 @@ def scorer(spark):
 @pytest.mark.parametrize(
     "written",
     ["idiot", "IDIOT!", "1d1ot", "id10t", "!d!0t", "iddiiioot", "idiooooot", "i d i o t", "i.d.i.o.t", "i-d-i-o-t",
-     "l0ser", "m0r0n", "$tup1d", "w0rthle$$", "p@thetic", "ID1OT,", "i d i o t!"],
+     "l0ser", "m0r0n", "$tup1d", "w0rthle$$", "dísgusting", "p@thetic", "ID1OT,", "i d i o t!"],
 )
 def test_obfuscated_words_are_found(scorer, written):
     assert scorer.score(f"Is and retitioning of the {written} it and the on".encode()) >= 0.5
@@ -84,6 +88,54 @@ def test_words_behind_marks_and_in_pieces_are_found(scorer, written):
     assert scorer.score(f"Is and retitioning of the {written} it and the on".encode()) >= 0.5
 
 
+def test_decoding_finds_the_best_of_all_paths(scorer):
+    """Against an enumeration of every path through the lattice."""
+    table = toxicity._symbols()
+
+    def value(letters, channel):
+        x, y, score = 0, 0, channel
+        for c in letters + " ":
+            z = int(table[min(ord(c), 0x100)])
+            score += float(scorer.model[x, y, z])
+            x, y = y, z
+        return score
+
+    for written in ["1d1ot", "l0$er", "w0rthle$$", "m0 r0n", "(b@d)", "é1!", "aa88", "6|t", "", "-"]:
+        paths = itertools.product(*toxicity.lattice(written))
+        best = max(value("".join(t for t, _ in path), sum(p for _, p in path)) for path in paths)
+        got = toxicity.decode(written, scorer.model)
+        ends = [value(got + " " * n, p) for n in (0, 1) for p in {sum(c for _, c in path) for path in itertools.product(*toxicity.lattice(written)) if "".join(t for t, _ in path) == got + " " * n}]
+        assert max(ends) == pytest.approx(best, abs=1e-3)
+
+
+def test_every_feature_names_itself(scorer):
+    words = [f for f in scorer.weights if f and not f.endswith("~")]
+    assert len(words) >= 5
+    for f in words:
+        assert f in scorer._named(f) and toxicity.admits(f, f)
+        assert f in scorer._named("".join(c * 3 for c in f))
+    assert not toxicity.admits("as", "ass") and toxicity.admits("a$$", "ass") and toxicity.admits("wörthles$", "worthl~")
+
+
+def test_rare_words_are_features_too(spark, docs_of):
+    """No cap and no least share: five texts of two thousand toxic ones are enough."""
+    rng = random.Random(6)
+    plain = lambda: " ".join("".join(rng.choice("aeioukt") for _ in range(4)) for _ in range(12))
+    rows = [(i, f"{plain()} {'zork' if i % 2 else ''} {'quib' + str(i // 40) if i % 2 else ''}") for i in range(1, 4000)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    weights = toxicity.learn(docs_of(rows), labels)
+    assert {f"quib{i}" for i in range(1, 99)} <= set(weights) and "zork" in weights
+
+
+def test_toxicity_of_empty_tables_and_odd_stages(spark, docs_of, tmp_path):
+    spark.createDataFrame([(4, 0), (5, 1), (None, 1), (9, None)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.stage(spark, docs_of([]), str(tmp_path)).collect() == []
+    kept = toxicity.stage(spark, docs_of(ODD), str(tmp_path))
+    assert kept.count() == len(ODD) and kept.columns == docs_of(ODD).columns
+    docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert toxicity.op8_toxicity(spark, str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize("text", ["avoid iota and hello serve", "video, is it", "the idiom-of moronic (idiotx)", "a (b) c|d", "!" * 50_000])
 def test_clean_pieces_are_left_alone(scorer, text):
     assert scorer.score(text.encode()) < 0.5

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,13 +120,17 @@ def test_every_feature_names_itself(scorer):
 
 
 def test_rare_words_are_features_too(spark, docs_of):
-    """No cap and no least share: five texts of two thousand toxic ones are enough."""
+    """No cap and no least share: significance alone decides."""
     rng = random.Random(6)
     plain = lambda: " ".join("".join(rng.choice("aeioukt") for _ in range(4)) for _ in range(12))
-    rows = [(i, f"{plain()} {'zork' if i % 2 else ''} {'quib' + str(i // 40) if i % 2 else ''}") for i in range(1, 4000)]
-    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    toxic = range(0, 9000, 10)
+    rows = [(i, f"{plain()} {f'zork quib{i // 80}' if i in toxic else ''}") for i in range(9000)]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows], "doc_id bigint, toxic int")
     weights = toxicity.learn(docs_of(rows), labels)
-    assert {f"quib{i}" for i in range(1, 99)} <= set(weights) and "zork" in weights
+    learnt = Counter(i // 80 for i in toxic if zlib.crc32(str(i).encode()) % 5)
+    expected = {f"quib{k}" for k, n in learnt.items() if n >= toxicity.LEAST_DOCS}
+    assert len(expected) > 90 and min(n for n in learnt.values() if n >= 5) < 0.01 * sum(learnt.values())
+    assert expected <= set(weights) and "zork" in weights
 
 
 def test_toxicity_of_empty_tables_and_odd_stages(spark, docs_of, tmp_path):

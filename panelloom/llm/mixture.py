@@ -156,31 +156,34 @@ def leaf_cuts(docs: DataFrame, mixture: Mixture) -> DataFrame:
     return budgets.select(*keys, "docs", "full").join(last, keys, "left")
 
 
-def mix(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """Rows of ``docs`` once per epoch in which they are taken, with a column ``_epoch``.
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A name that no column of the documents has, upper and lower case alike."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def mix(docs: DataFrame, mixture: Mixture, epoch: str = "_epoch") -> DataFrame:
+    """Rows of ``docs`` once per epoch in which they are taken, with the epoch as one more column.
 
     Whether a row is taken depends on its leaf's row alone. Leaves with more
     than 1/HOT_SHARE of the documents, at most HOT_SHARE, reach their rows by
     broadcast, so that these rows stay where they are; the others are joined.
+    Leaves travel as one struct of a free name, so that no column clashes.
     """
-    names = ["_domain", "_lang", "_source", "_docs", "_full", "_last"]
-    cuts = cut_lineage(leaf_cuts(docs, mixture).toDF(*names))
-    total = cuts.agg(F.sum("_docs")).first()[0] or 0
-    large = F.col("_docs") * HOT_SHARE > total
+    name = free_name(docs, "_leaf")
+    cuts = cut_lineage(leaf_cuts(docs, mixture))
+    total = cuts.agg(F.sum("docs")).first()[0] or 0
+    large = F.col("docs") * HOT_SHARE > total
+    hot, cold = (cuts.where(x).select(F.struct(*cuts.columns).alias(name)) for x in (large, ~large))
+    leaf = {c: F.col(f"{name}.{c}") for c in cuts.columns}
     domain, lang, source = leaf_columns(mixture)
-    same = (F.col("_domain") == domain) & (F.col("_lang") == lang) & (F.col("_source") == source)
-    next_one = F.coalesce(_order(F.col("_full"), F.col("doc_id"), mixture.seed) <= F.col("_last"), F.lit(False))
-    taken = F.col("_full") + next_one.cast("int")
-    hot = F.broadcast(cuts.where(large))
-    far = docs.join(hot, same, "left_anti").join(cuts.where(~large), same)
-    return (
-        docs.join(hot, same)
-        .unionByName(far)
-        .withColumn("_taken", taken)
-        .where("_taken > 0")
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
-        .drop(*names, "_taken")
-    )
+    same = (leaf["domain"] == domain) & (leaf["lang"] == lang) & (leaf["source"] == source)
+    next_one = F.coalesce(_order(leaf["full"], F.col("doc_id"), mixture.seed) <= leaf["last"], F.lit(False))
+    far = docs.join(F.broadcast(hot), same, "left_anti").join(cold, same)
+    rows = docs.join(F.broadcast(hot), same).unionByName(far).withColumn(name, leaf["full"] + next_one.cast("int"))
+    return rows.where(F.col(name) > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(name) - 1))).drop(name)
 
 
 def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,7 +198,8 @@ def op2_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture, a document once per epoch in which it is taken."""
     ready(spark)
-    return mix(docs, Mixture()).select(*[docs[c] for c in docs.columns])
+    epoch = free_name(docs, "_epoch")
+    return mix(docs, Mixture(), epoch).drop(epoch)
 
 
 def _sql_divide(name: str, source: str, by: str) -> str:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelloom.llm import chat, licenses, mixture, shards, topk
 from panelloom.llm.common import read
@@ -14,7 +15,7 @@ from tests.check_queries import compare, connect
 from tests.llm.conftest import LARGER, ODD, SMALL
 
 
-@pytest.mark.parametrize("name", ["op2_mixture", "op7_exact_dedup", "op9_topk", "op10_chat_format"])
+@pytest.mark.parametrize("name", ["op2_mixture", "op7_exact_dedup", "op9_topk", "op10_chat_format", "op11_prefix_trie", "op12_conversation_repair"])
 def test_sql(spark, name):
     assert compare(spark, connect(LARGER), name, LARGER)[2] == "ok"
 
@@ -270,3 +271,16 @@ def test_pipeline(spark):
     assert not ids & {r["doc_id"] for r in docs.collect()}
     texts = {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in before.collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in docs.collect()} == texts
+
+
+def test_mixture_stage_takes_any_extra_column(spark, docs_of):
+    """Names the operator uses inside, in either case, and one that needs quoting."""
+    names = ["_full", "_docs", "_taken", "_epoch", "_domain", "_lang", "_source", "_last", "_LEAF", "_leaf_", "docs", "tokens",
+             "full", "rest", "last", "domain", "place", "part", "budget", "supply"]
+    docs = docs_of(ODD, extra=False).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    kept = mixture.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    plain = mixture.stage(spark, docs_of(ODD, extra=False), "")
+    assert sorted(map(str, kept.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert all(r[n] == i for r in kept.collect() for i, n in enumerate(names))
+    assert mixture.stage(spark, docs.limit(0), "").collect() == []

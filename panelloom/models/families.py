@@ -1,7 +1,7 @@
-"""The model families that are compared, as Spark ML estimators.
+"""The model families that are compared.
 
 A family names its preprocessing, its parameter grid and how to build the
-classifier.  Inputs are ``features`` (vector), ``label_index`` (alphabetical
+classifier: a Spark ML estimator per setting, or one trainer of all settings.  Inputs are ``features`` (vector), ``label_index`` (alphabetical
 code) and ``weight``; output is ``prediction`` (code).
 """
 
@@ -17,10 +17,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -29,6 +26,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.models import together
 from panelloom.models.knn import NearestNeighbourClassifier
 from panelloom.operators.prep import MedianImputer, PopulationScaler
 from panelloom.session import ensure_checkpoint_dir
@@ -79,19 +77,6 @@ class RandomFourierFeatures(Transformer):
         return dataset.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 
 
-def _logistic(params: dict, inputs: int, rows: float) -> Estimator:
-    return LogisticRegression(
-        featuresCol="features",
-        labelCol="label_index",
-        weightCol="weight",
-        family="multinomial",
-        standardization=False,
-        regParam=1.0 / (params["C"] * rows),
-        maxIter=params.get("max_iter", 2000),
-        tol=1e-4,
-    )
-
-
 def _svm(params: dict, inputs: int, rows: float) -> Estimator:
     machine = LinearSVC(
         standardization=False, regParam=1.0 / (params["C"] * rows), maxIter=params.get("max_iter", 200), tol=1e-3
@@ -121,56 +106,32 @@ def _forest(params: dict, inputs: int, rows: float) -> Estimator:
     )
 
 
-def _boosting(params: dict, inputs: int, rows: float) -> Estimator:
-    # Spark boosts two classes at a time, hence one booster per label.
-    booster = GBTClassifier(
-        maxIter=params["n_estimators"],
-        stepSize=params["learning_rate"],
-        maxDepth=params["max_depth"],
-        seed=SEED,
-        checkpointInterval=10,
-    )
-    return OneVsRest(classifier=booster, featuresCol="features", labelCol="label_index", parallelism=3)
-
-
-def _perceptron(params: dict, inputs: int, rows: float) -> Estimator:
-    # Spark's network is sigmoid with L-BFGS and has no weight penalty: the
-    # alpha of the grid is kept in the parameters but has no effect.
-    return MultilayerPerceptronClassifier(
-        featuresCol="features",
-        labelCol="label_index",
-        layers=[inputs, *params["hidden_layer_sizes"], len(CLASSES)],
-        maxIter=params.get("max_iter", 3000),
-        tol=1e-4,
-        seed=SEED,
-    )
-
-
 @dataclass(frozen=True)
 class Family:
-    build: Callable[[dict, int, float], Estimator]
+    """A Spark estimator to build for a setting, or a trainer of all settings and folds together."""
+
+    build: Callable[[dict, int, float], Estimator] | None = None
     grid: dict[str, list[Any]] = field(default_factory=dict)
     scaled: bool = False
-    inert: tuple[str, ...] = ()
+    together: Callable[..., together.Result] | None = None
 
     def candidates(self) -> list[dict[str, Any]]:
-        """All settings of the grid, those that differ only in an inert parameter once."""
-        names = [n for n in sorted(self.grid) if n not in self.inert]
-        fixed = {n: self.grid[n][0] for n in self.inert if n in self.grid}
-        return [{**fixed, **dict(zip(names, v))} for v in itertools.product(*[self.grid[n] for n in names])]
+        """All settings of the grid."""
+        names = sorted(self.grid)
+        return [dict(zip(names, v)) for v in itertools.product(*[self.grid[n] for n in names])]
 
 
 # The parameter grids of the comparison.
 FAMILIES: dict[str, Family] = {
     "majority_baseline": Family(lambda p, i, r: MajorityClassifier()),
-    "logistic_regression": Family(_logistic, {"C": [0.1, 1.0, 10.0]}, True),
+    "logistic_regression": Family(None, {"C": [0.1, 1.0, 10.0]}, True, together.logistic),
     "svm": Family(_svm, {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"]}, True),
     "knn": Family(_knn, {"n_neighbors": [3, 5, 9]}, True),
     "random_forest": Family(_forest, {"n_estimators": [100, 300], "max_depth": [5, 10, None]}),
     "gradient_boosting": Family(
-        _boosting, {"n_estimators": [100, 200], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]}
+        None, {"n_estimators": [100, 200], "learning_rate": [0.05, 0.1], "max_depth": [2, 3]}, False, together.gradient_boosting
     ),
-    "mlp": Family(_perceptron, {"hidden_layer_sizes": [[32], [64], [32, 16]], "alpha": [0.0001, 0.001]}, True, ("alpha",)),
+    "mlp": Family(None, {"hidden_layer_sizes": [[32], [64], [32, 16]], "alpha": [0.0001, 0.001]}, True, together.mlp),
 }
 
 # Default settings of the older, untuned comparison.
@@ -224,9 +185,11 @@ def preprocessing(features: Sequence[str], scaled: bool) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def fit(family: Family, params: dict, train: DataFrame, features: Sequence[str], rows: int) -> PipelineModel:
+def fit(family: Family, params: dict, train: DataFrame, features: Sequence[str], rows: int) -> Model:
     """Preprocessing and classifier, both fitted on the given rows only."""
-    ensure_checkpoint_dir(train.sparkSession)  # boosting cuts its lineage there
+    if family.together is not None:
+        return family.together(together.Shared(train, features, len(CLASSES)), [params]).refit(0)
+    ensure_checkpoint_dir(train.sparkSession)
     prep = preprocessing(features, family.scaled).fit(train)
     ready = with_balanced_weight(prep.transform(train)).persist(StorageLevel.MEMORY_AND_DISK)
     try:

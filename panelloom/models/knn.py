@@ -279,11 +279,20 @@ class NearestNeighbourModel(Model):
         super().__init__()
         self.train, self.k, self.features, self.label = train, k, features, label
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def neighbours(self, dataset: DataFrame) -> DataFrame:
         def as_array(frame: DataFrame, *others: str) -> DataFrame:
             return frame.select("row_id", vector_to_array(self.features).alias("vector"), *others)
 
-        found = nearest_neighbours(
+        return nearest_neighbours(
             as_array(self.train, self.label), as_array(dataset), self.k, "row_id", "row_id", "vector", self.label
         )
-        return dataset.join(vote(found, "row_id", self.label), "row_id", "left")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.join(vote(self.neighbours(dataset), "row_id", self.label), "row_id", "left")
+
+
+def nested_scores(candidates: list[dict], train: DataFrame, check: DataFrame) -> list[DataFrame]:
+    """Predictions of every number of neighbours from one search for the most of them."""
+    model = NearestNeighbourModel(train.select("row_id", "features", "label_index"), max(p["n_neighbors"] for p in candidates), "features", "label_index")
+    found = cut_lineage(model.neighbours(check))
+    return [check.join(vote(found.where(F.col("place") <= p["n_neighbors"]), "row_id", "label_index"), "row_id", "left") for p in candidates]

@@ -1,8 +1,9 @@
 """Grid search over folds of whole subjects, model and feature-set comparison.
 
-Fits are ordinary Spark jobs submitted from a few driver threads.  Everything
-that does not depend on the candidate, the fold filter, the imputation and the
-scaling, is done once per fold and kept for all candidates.
+Candidates share their work: logistic regressions, networks and boosters of all
+settings and folds are trained in the same passes, a forest and a neighbour
+search of the largest setting score the settings they hold. What is left are
+ordinary fits submitted from a few driver threads.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from itertools import chain
 from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.models import families
+from panelloom.models import families, fleet, forest, knn, together
 from panelloom.models.evaluate import MacroF1Evaluator, confusion_matrix, confusion_percent, evaluate
 from panelloom.models.families import Family
 from panelloom.operators import split as splitting
@@ -29,6 +30,7 @@ from panelloom.session import ensure_checkpoint_dir
 from panelloom.spec import LABELS, SEED, PanelSpec
 
 PARALLEL_FITS = 8
+FLEET = 64  # models that leave one subject out, trained together
 RESULT_SCHEMA = "model string, cv_macro_f1 double, best_params string, n_candidates int"
 
 
@@ -56,6 +58,54 @@ def _parallel(spark: SparkSession, jobs: Sequence[Any], work: Any) -> list[Any]:
         return list(pool.map(inheritable_thread_target(spark)(work), jobs))
 
 
+def _forest_scores(family: Family, candidates: list[dict], ready: DataFrame, check: DataFrame, inputs: int, n: int) -> list[float]:
+    model = family.build(forest.largest(candidates), inputs, float(n)).fit(ready)
+    return forest.nested_scores(model, candidates, check, len(families.CLASSES))
+
+
+def _neighbour_scores(family: Family, candidates: list[dict], ready: DataFrame, check: DataFrame, inputs: int, n: int) -> list[float]:
+    return [MacroF1Evaluator().evaluate(families.with_label_text(p)) for p in knn.nested_scores(candidates, ready, check)]
+
+
+# Families in which one fit or search answers for every setting.
+NESTED = {"random_forest": _forest_scores, "knn": _neighbour_scores}
+
+
+def _scores_by_fold(kept: DataFrame, features: Sequence[str], searched: dict[str, Family], used: list[int]) -> dict[str, list[list[float]]]:
+    """Per family, candidate and fold the score of models fitted setting by setting or from one nested fit.
+
+    What does not depend on the candidate, the fold filter, the imputation and
+    the scaling, is done once per fold.
+    """
+    level, found = StorageLevel.MEMORY_AND_DISK, {name: [[] for _ in f.candidates()] for name, f in searched.items()}
+    for fold in used if searched else []:
+        part, held = kept.where(F.col("fold") != fold), kept.where(F.col("fold") == fold)
+        for scaled in sorted({f.scaled for f in searched.values()}):
+            prep = families.preprocessing(features, scaled).fit(part)
+            ready = families.with_balanced_weight(prep.transform(part)).persist(level)
+            check = prep.transform(held).persist(level)
+            n = ready.count()
+            jobs: list[tuple[str, list[int]]] = []
+            for name, f in searched.items():
+                if f.scaled == scaled:
+                    places = list(range(len(f.candidates())))
+                    jobs += [(name, places)] if name in NESTED else [(name, [i]) for i in places]
+
+            def run(job: tuple[str, list[int]]) -> list[float]:
+                name, places = job
+                family, candidates = searched[name], [searched[name].candidates()[i] for i in places]
+                if name in NESTED:
+                    return NESTED[name](family, candidates, ready, check, len(features), n)
+                return [_score(family.build(p, len(features), float(n)).fit(ready), check) for p in candidates]
+
+            for (name, places), scores in zip(jobs, _parallel(kept.sparkSession, jobs, run)):
+                for i, score in zip(places, scores):
+                    found[name][i].append(score)
+            ready.unpersist()
+            check.unpersist()
+    return found
+
+
 def tune(
     train: DataFrame,
     spec: PanelSpec,
@@ -67,53 +117,35 @@ def tune(
     """Mean macro-F1 over folds per candidate, first best wins, refit on all rows.
 
     A family without a grid is only fitted and has no cross-validated score.
+    Families that train together take all candidates, all folds and the refit in
+    the same passes.
     """
     chosen = chosen or families.FAMILIES
     ensure_checkpoint_dir(train.sparkSession)
-    level = StorageLevel.MEMORY_AND_DISK
     rows = _modelling_rows(train, spec, features)
     assignment = splitting.group_kfold(train, spec, folds, seed).select(spec.subject, "fold")
     # One copy with folds serves every fit below.
-    kept = rows.join(assignment, spec.subject).persist(level)
+    kept = rows.join(assignment, spec.subject).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = kept.count()
-        base = kept
-        used = [r.fold for r in base.select("fold").distinct().orderBy("fold").collect()]
-        scores: dict[tuple[str, int], list[float]] = {}
-        searched = {name: f for name, f in chosen.items() if f.grid}
-        for fold in used if searched else []:
-            part, held = base.where(F.col("fold") != fold), base.where(F.col("fold") == fold)
-            for scaled in sorted({f.scaled for f in searched.values()}):
-                prep = families.preprocessing(features, scaled).fit(part)
-                ready = families.with_balanced_weight(prep.transform(part)).persist(level)
-                check = prep.transform(held).persist(level)
-                n = ready.count()
-                jobs = [
-                    (name, i, f, p)
-                    for name, f in searched.items()
-                    if f.scaled == scaled
-                    for i, p in enumerate(f.candidates())
-                ]
-
-                def run(job: tuple[str, int, Family, dict]) -> tuple[str, int, float]:
-                    name, i, family, params = job
-                    model = family.build(params, len(features), float(n)).fit(ready)
-                    return name, i, _score(model, check)
-
-                for name, i, score in _parallel(train.sparkSession, jobs, run):
-                    scores.setdefault((name, i), []).append(score)
-                ready.unpersist()
-                check.unpersist()
-
-        def refit(item: tuple[str, Family]) -> tuple[str, PipelineModel, tuple]:
+        used = [r.fold for r in kept.select("fold").distinct().orderBy("fold").collect()]
+        apart = {name: f for name, f in chosen.items() if f.grid and f.together is None}
+        scores = _scores_by_fold(kept, features, apart, used)
+        shared = together.Shared(kept, features, len(families.CLASSES), "fold", used)
+        results = {name: f.together(shared, f.candidates()) for name, f in chosen.items() if f.grid and f.together is not None}
+        scores |= {name: r.scores(used) for name, r in results.items()}
+
+        def refit(item: tuple[str, Family]) -> tuple[str, Model, tuple]:
             name, family = item
             candidates = family.candidates()
             if not family.grid:
-                return name, families.fit(family, {}, base, features, total), (name, None, "{}", 1)
-            means = [sum(s) / len(s) for s in (scores[name, i] for i in range(len(candidates)))]
+                return name, families.fit(family, {}, kept, features, total), (name, None, "{}", 1)
+            means = [sum(s) / len(s) for s in scores[name]]
             best = max(range(len(candidates)), key=lambda i: (means[i], -i))
             record = (name, means[best], json.dumps(candidates[best], sort_keys=True), len(candidates))
-            return name, families.fit(family, candidates[best], base, features, total), record
+            if name in results:
+                return name, results[name].refit(best), record
+            return name, families.fit(family, candidates[best], kept, features, total), record
 
         done = _parallel(train.sparkSession, list(chosen.items()), refit)
     finally:
@@ -259,14 +291,16 @@ def best_per_condition(results: DataFrame) -> DataFrame:
 def leave_one_subject_out(
     train: DataFrame, spec: PanelSpec, features: Sequence[str], family: Family, params: dict
 ) -> DataFrame:
-    """One fit per training subject: (subject, n_rows, macro_f1).
+    """One model per training subject: (subject, n_rows, macro_f1).
 
-    The number of fits equals the number of subjects, as does the number of
-    rows returned. Subjects come to the driver a partition at a time, PARALLEL_FITS
-    of them are worked on at once, and every finished score goes to a table.
+    Families that train together take FLEET subjects in the same passes, so the
+    jobs do not grow with the subjects up to that number. Others are fitted
+    apart, PARALLEL_FITS at once. Either way there are as many models as
+    subjects, and the driver holds one score for each of a part of them.
     """
     rows = _modelling_rows(train, spec, features).persist(StorageLevel.MEMORY_AND_DISK)
     spark = train.sparkSession
+    schema = f"{spec.subject} string, n_rows bigint, macro_f1 double"
     try:
         total = rows.count()
         counted = rows.groupBy(spec.subject).agg(F.count("*").alias("n"))
@@ -277,13 +311,23 @@ def leave_one_subject_out(
             model = families.fit(family, params, rows.where(~own), features, total - n)
             return subject, n, _score(model, rows.where(own))
 
+        def fleet_of(jobs: list[tuple[str, int]]) -> list[tuple[str, int, float]]:
+            numbers = {subject: i for i, (subject, _) in enumerate(jobs)}
+            code = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])[F.col(spec.subject)]
+            # Rows of subjects outside this fleet are learnt from by all its models.
+            coded = rows.withColumn("_code", F.coalesce(code, F.lit(len(jobs))))
+            shared = together.Shared(coded, features, len(families.CLASSES), "_code", list(numbers.values()))
+            confusions = family.together(shared, [params], whole=False).confusions[0]
+            return [(s, n, fleet.macro_f1(confusions[numbers[s]])) for s, n in jobs]
+
+        most = FLEET if family.together is not None else PARALLEL_FITS
         parts, waiting = [], []
-        schema = f"{spec.subject} string, n_rows bigint, macro_f1 double"
         for row in chain(counted.toLocalIterator(), [None]):
             if row is not None:
                 waiting.append((row[0], row.n))
-            if waiting and (row is None or len(waiting) == PARALLEL_FITS):
-                parts.append(spark.createDataFrame(_parallel(spark, waiting, run), schema))
+            if waiting and (row is None or len(waiting) == most):
+                done = fleet_of(waiting) if family.together is not None else _parallel(spark, waiting, run)
+                parts.append(spark.createDataFrame(done, schema))
                 waiting = []
     finally:
         rows.unpersist()

@@ -1,7 +1,7 @@
-"""Model fits on the events panel.
+"""Model fits on the events panel, with the grids, folds and rounds of the library.
 
-Grids are kept short here so that a whole comparison runs in a minute on one
-machine; the full grids are the defaults of the library functions.
+A family's grid is a query of its own, so that each runs in minutes on one
+machine; the README gives the times of what is not run here.
 """
 
 from __future__ import annotations
@@ -11,33 +11,26 @@ from pyspark.sql import functions as F
 from panelloom.models import families, robustness, tuning
 from panelloom.models.families import Family
 from panelloom.operators import validate
+from panelloom.operators.compare import union_conditions
 from panelloom.plans import panels
 from panelloom.plans.catalog.registry import FEATURES, SPLIT, query
 from panelloom.spec import EVENTS, ablation_groups, deviation_conditions, temporal_conditions
 
 
-def short(name: str, **grid) -> Family:
-    return Family(families.FAMILIES[name].build, grid, families.FAMILIES[name].scaled)
+def some(*names: str) -> dict[str, Family]:
+    """Families with their full grids."""
+    return {name: families.FAMILIES[name] for name in names}
 
 
-BASELINE = {"majority_baseline": families.FAMILIES["majority_baseline"]}
-FOREST = short("random_forest", n_estimators=[20], max_depth=[3, 5])
-QUICK = {**BASELINE, "random_forest": short("random_forest", n_estimators=[20], max_depth=[5])}
-EVERY = {
-    **QUICK,
-    "logistic_regression": short("logistic_regression", C=[1.0], max_iter=[30]),
-    "svm": short("svm", C=[1.0], kernel=["rbf"], max_iter=[10], width=[50]),
-    "knn": short("knn", n_neighbors=[5]),
-    "gradient_boosting": short("gradient_boosting", n_estimators=[5], learning_rate=[0.1], max_depth=[2]),
-    "mlp": short("mlp", hidden_layer_sizes=[[32]], alpha=[0.001], max_iter=[30]),
-}
 SINGLE = {
     "logistic_regression": {"C": 1.0},
-    "svm": {"C": 1.0, "kernel": "rbf", "max_iter": 20, "width": 50},
+    "svm": {"C": 1.0, "kernel": "rbf"},
     "random_forest": {"n_estimators": 100, "max_depth": 10},
-    "gradient_boosting": {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 2},
-    "mlp": {"hidden_layer_sizes": [64], "alpha": 0.001, "max_iter": 100},
+    "gradient_boosting": {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 2},
+    "mlp": {"hidden_layer_sizes": [64], "alpha": 0.001},
 }
+# The families whose candidates cost little, for comparisons of many feature sets.
+LIGHT = some("majority_baseline", "logistic_regression")
 
 
 def _parts(panel):
@@ -95,22 +88,30 @@ def feature_importance(spark, folder):
     return families.feature_importance(model, FEATURES, train)
 
 
-@query("grid_search")
-def grid_search(spark, folder):
-    train, _ = _parts(panels.split_panel(spark, folder))
-    return tuning.tune(train, EVENTS, FEATURES, {**BASELINE, "random_forest": FOREST}, folds=3).tuning
+def _register_grid(name, chosen):
+    @query(name)
+    def run(spark, folder):
+        train, _ = _parts(panels.split_panel(spark, folder))
+        return tuning.tune(train, EVENTS, FEATURES, chosen).tuning
+
+    return run
+
+
+_register_grid("grid_search", some("majority_baseline", "logistic_regression", "mlp"))
+_register_grid("grid_search_boosting", some("gradient_boosting"))
+_register_grid("grid_search_forest", some("random_forest"))
 
 
 @query("model_comparison")
 def model_comparison(spark, folder):
     train, test = _parts(panels.split_panel(spark, folder))
-    return tuning.best_against_baseline(tuning.compare_models(train, test, EVENTS, FEATURES, EVERY, folds=2))
+    chosen = some("majority_baseline", "logistic_regression", "mlp")
+    return tuning.best_against_baseline(tuning.compare_models(train, test, EVENTS, FEATURES, chosen))
 
 
 @query("feature_group_ablation")
 def feature_group_ablation(spark, folder):
-    panel = panels.split_panel(spark, folder)
-    return tuning.compare_feature_sets(panel, EVENTS, ablation_groups(EVENTS), QUICK, folds=2)
+    return tuning.compare_feature_sets(panels.split_panel(spark, folder), EVENTS, ablation_groups(EVENTS), LIGHT)
 
 
 @query("temporal_ablation")
@@ -118,41 +119,37 @@ def temporal_ablation(spark, folder):
     panel = panels.temporal_panel(spark, folder)
     conditions = temporal_conditions(EVENTS)
     validate.require_temporal_design(panel, conditions, EVENTS)
-    return tuning.compare_feature_sets(panel, EVENTS, conditions, QUICK, folds=2)
+    return tuning.compare_feature_sets(panel, EVENTS, conditions, LIGHT)
 
 
 @query("deviation_ablation")
 def deviation_ablation(spark, folder):
-    panel = panels.temporal_panel(spark, folder)
-    return tuning.compare_feature_sets(panel, EVENTS, deviation_conditions(EVENTS), QUICK, folds=2)
+    return tuning.compare_feature_sets(panels.temporal_panel(spark, folder), EVENTS, deviation_conditions(EVENTS), LIGHT)
 
 
 @query("fixed_fit_predict")
 def fixed_fit_predict(spark, folder):
-    """The three fixed configurations, with fewer boosting and network rounds."""
-    panel = panels.temporal_panel(spark, folder)
-    train, test = _parts(panel)
+    """The three fixed configurations, each fitted on train rows and applied to test rows."""
+    train, test = _parts(panels.temporal_panel(spark, folder))
     sets = {**ablation_groups(EVENTS), **temporal_conditions(EVENTS)}
-    rounds = {"mlp": {"max_iter": 100}, "gradient_boosting": {"n_estimators": 20}}
     frames = {
-        name: tuning.fit_predict(
-            train, test, EVENTS, sets[columns], families.FAMILIES[family], {**params, **rounds.get(family, {})}
-        )
+        name: tuning.fit_predict(train, test, EVENTS, sets[columns], families.FAMILIES[family], params)
         for name, (family, params, columns) in families.FIXED.items()
     }
-    from panelloom.operators.compare import union_conditions
-
     return union_conditions(frames, "analysis")
 
 
 @query("logo_eval")
 def logo_eval(spark, folder):
-    """One fit per training subject, summarised over subjects."""
+    """Fold table of the fixed forest: one fit per training subject."""
     train, _ = _parts(panels.split_panel(spark, folder))
-    scores = tuning.leave_one_subject_out(
-        train, EVENTS, list(EVENTS.groups["hrv"] + EVENTS.groups["spo2"]),
-        families.FAMILIES["random_forest"], {"n_estimators": 5, "max_depth": 3},
-    )
-    return robustness.subject_score_summary(scores)
+    family, params, columns = families.FIXED["hrv_spo2_random_forest"]
+    return tuning.leave_one_subject_out(train, EVENTS, ablation_groups(EVENTS)[columns], families.FAMILIES[family], params)
 
 
+@query("logo_together")
+def logo_together(spark, folder):
+    """Summary over subjects of logistic models that each leave one out, trained in the same passes."""
+    train, _ = _parts(panels.split_panel(spark, folder))
+    scores = tuning.leave_one_subject_out(train, EVENTS, FEATURES, families.FAMILIES["logistic_regression"], {"C": 1.0})
+    return robustness.subject_score_summary(scores)

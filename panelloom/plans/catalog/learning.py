@@ -153,3 +153,113 @@ def logo_together(spark, folder):
     train, _ = _parts(panels.split_panel(spark, folder))
     scores = tuning.leave_one_subject_out(train, EVENTS, FEATURES, families.FAMILIES["logistic_regression"], {"C": 1.0})
     return robustness.subject_score_summary(scores)
+
+
+_LABELS = "(VALUES ('Low'), ('Medium'), ('High')) AS names(label)"
+
+
+def _apart(features) -> str:
+    return " + ".join(f"pow((q.{f} - {f}_a) / {f}_s - (t.{f} - {f}_a) / {f}_s, 2)" for f in features)
+
+
+def _scores_sql(votes: str, by: str, on: str) -> str:
+    """Accuracy and macro-F1 of predictions (by..., label, prediction), over labels on either side."""
+    return f"""SELECT {by}, max(right_share) AS accuracy, avg(2.0 * hit / seen) FILTER (WHERE seen > 0) AS macro_f1 FROM (
+      SELECT {by}, names.label, count(*) FILTER (WHERE v.label = names.label AND v.prediction = names.label) AS hit,
+        count(*) FILTER (WHERE v.label = names.label) + count(*) FILTER (WHERE v.prediction = names.label) AS seen,
+        avg(CASE WHEN v.label = v.prediction THEN 1.0 ELSE 0 END) AS right_share
+      FROM {votes} v CROSS JOIN {_LABELS} GROUP BY {on}, names.label) GROUP BY {by}"""
+
+
+def _knn_ctes(tag: str, features) -> str:
+    """Cross-validated and test scores of kNN on some features; out = -1 stands for all train rows against the test rows."""
+    medians = ", ".join(f"quantile_cont({f}, 0.5) AS {f}" for f in features)
+    filled = ", ".join(f"coalesce(r.{f}, m.{f}, 0) AS {f}" for f in features)
+    moments = ", ".join(f"avg({f}) AS {f}_a, coalesce(nullif(stddev_pop({f}), 0), 1) AS {f}_s" for f in features)
+    return f"""
+med_{tag} AS (SELECT o.out, {medians} FROM folded r JOIN outs o ON r.fold >= 0 AND r.fold <> o.out GROUP BY o.out),
+filled_{tag} AS (SELECT m.out, r.row_id, r.label, r.fold, {filled} FROM folded r CROSS JOIN med_{tag} m),
+moments_{tag} AS (SELECT out, {moments} FROM filled_{tag} WHERE fold >= 0 AND fold <> out GROUP BY out),
+near_{tag} AS (
+  SELECT q.out, q.row_id, q.label, t.label AS said,
+    row_number() OVER (PARTITION BY q.out, q.row_id ORDER BY round(sqrt({_apart(features)}), 9), t.row_id) AS place
+  FROM filled_{tag} q JOIN filled_{tag} t ON q.out = t.out AND q.fold = q.out AND t.fold >= 0 AND t.fold <> t.out
+    JOIN moments_{tag} m ON m.out = q.out),
+said_{tag} AS (
+  SELECT out, k, row_id, label, said AS prediction FROM near_{tag} JOIN (VALUES (3), (5), (9)) AS ks(k) ON place <= k
+  GROUP BY out, k, row_id, label, said
+  QUALIFY row_number() OVER (PARTITION BY out, k, row_id ORDER BY count(*) DESC, said) = 1),
+score_{tag} AS ({_scores_sql(f"said_{tag}", "out, k", "out, k")}),
+best_{tag} AS (
+  SELECT k, avg(macro_f1) AS cv_macro_f1 FROM score_{tag} WHERE out >= 0 GROUP BY k
+  ORDER BY round(cv_macro_f1, 12) DESC, k LIMIT 1),
+most_{tag} AS (
+  SELECT -1 AS out, label, (SELECT label FROM folded WHERE fold >= 0 GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1) AS prediction
+  FROM folded WHERE fold < 0),
+base_{tag} AS ({_scores_sql(f"most_{tag}", "out", "out")})"""
+
+
+_FOLDED = f"""{SPLIT},
+queue AS (
+  SELECT subject_id, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, md5('49:' || subject_id), subject_id) AS place
+  FROM split_panel WHERE split = 'train' GROUP BY subject_id),
+greedy AS (
+  SELECT CAST(0 AS BIGINT) AS place, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads, CAST('' AS VARCHAR) AS subject_id,
+         CAST(0 AS INTEGER) AS fold
+  UNION ALL
+  SELECT q.place, list_transform(range(1, 6), lambda i: loads[i] + CASE WHEN i = lightest THEN q.n_rows ELSE 0 END),
+         q.subject_id, CAST(lightest - 1 AS INTEGER)
+  FROM (SELECT *, list_position(loads, list_min(loads)) AS lightest FROM greedy) g
+  JOIN queue q ON q.place = g.place + 1),
+folded AS (
+  SELECT p.*, subject_id || '|' || day AS row_id, CASE WHEN split = 'train' THEN g.fold ELSE -1 END AS fold
+  FROM split_panel p LEFT JOIN greedy g USING (subject_id) WHERE label IS NOT NULL),
+outs AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS out)"""
+KNN_ONLY = some("majority_baseline", "knn")
+
+
+def _compared_sql(tag: str, features, more: str = "") -> str:
+    """The rows of a comparison of the majority label and kNN, as ``_compared`` gives them."""
+    return f"""SELECT {more}'majority_baseline' AS model, accuracy, macro_f1, CAST(NULL AS DOUBLE) AS cv_macro_f1, '{{}}' AS best_params,
+  1 AS n_candidates FROM base_{tag}
+UNION ALL
+SELECT {more}'knn', accuracy, macro_f1, cv_macro_f1, '{{"n_neighbors": ' || b.k || '}}', 3
+FROM best_{tag} b JOIN score_{tag} s ON s.k = b.k AND s.out = -1"""
+
+
+COMPARED = ["model", "accuracy", "macro_f1", "cv_macro_f1", "best_params", "n_candidates"]
+
+
+@query(
+    "grid_search_knn",
+    f"""WITH RECURSIVE {_FOLDED}, {_knn_ctes("all", FEATURES)}
+SELECT 'knn' AS model, cv_macro_f1, '{{"n_neighbors": ' || k || '}}' AS best_params, 3 AS n_candidates FROM best_all""",
+    "cv_macro_f1",
+)
+def grid_search_knn(spark, folder):
+    train, _ = _parts(panels.split_panel(spark, folder))
+    return tuning.tune(train, EVENTS, FEATURES, some("knn")).tuning
+
+
+@query(
+    "model_comparison_knn",
+    f"""WITH RECURSIVE {_FOLDED}, {_knn_ctes("all", FEATURES)} {_compared_sql("all", FEATURES)}""",
+    "accuracy macro_f1 cv_macro_f1",
+)
+def model_comparison_knn(spark, folder):
+    train, test = _parts(panels.split_panel(spark, folder))
+    return tuning.compare_models(train, test, EVENTS, FEATURES, KNN_ONLY).select(*COMPARED)
+
+
+_GROUPS = ablation_groups(EVENTS)
+
+
+@query(
+    "feature_group_ablation_knn",
+    f"""WITH RECURSIVE {_FOLDED}, {", ".join(_knn_ctes(name, features) for name, features in _GROUPS.items())}
+{" UNION ALL ".join(_compared_sql(name, features, f"'{name}' AS condition, {len(features)} AS n_features, ") for name, features in _GROUPS.items())}""",
+    "accuracy macro_f1 cv_macro_f1",
+)
+def feature_group_ablation_knn(spark, folder):
+    results = tuning.compare_feature_sets(panels.split_panel(spark, folder), EVENTS, _GROUPS, KNN_ONLY)
+    return results.select("condition", "n_features", *COMPARED)

@@ -99,7 +99,6 @@ def _register_grid(name, chosen):
 
 _register_grid("grid_search", some("majority_baseline", "logistic_regression", "mlp"))
 _register_grid("grid_search_boosting", some("gradient_boosting"))
-_register_grid("grid_search_forest", some("random_forest"))
 
 
 @query("model_comparison")

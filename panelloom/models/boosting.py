@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import ordering
 from panelloom.models import fleet
-from panelloom.models.fleet import NOBODY, Block, Blocks, Layout
+from panelloom.models.fleet import NOBODY, Block, Blocks, Layout, count_confusion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -279,6 +279,6 @@ def _confusions(blocks: Blocks, width: int, ensemble: Ensemble) -> dict[int, np.
         for m, booster in enumerate(ensemble.boosters):
             rows = state.g == booster.out
             if rows.any():
-                yield m, fleet.count_confusion(state.y[rows], state.scores[rows, m].argmax(axis=1), classes)
+                yield m, count_confusion(state.y[rows], state.scores[rows, m].argmax(axis=1), classes)
 
     return {m: v.reshape(classes, classes) for m, v in fleet.reduce(blocks, width, partial).items()}

@@ -12,17 +12,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    LinearSVC,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,43 +45,6 @@ class ConstantModel(Model):
         return dataset.withColumn("prediction", F.lit(float(self.code)))
 
 
-class RandomFourierFeatures(Transformer):
-    """Cosine features whose products approximate a Gaussian kernel.
-
-    Rahimi and Recht, "Random features for large-scale kernel machines", 2007.
-    The projection has width * inputs numbers, drawn once from a seed.
-    """
-
-    def __init__(self, inputs: int, width: int = 200, gamma: float | None = None, seed: int = SEED) -> None:
-        super().__init__()
-        random = np.random.default_rng(seed)
-        gamma = 1.0 / inputs if gamma is None else gamma
-        self.weights = random.normal(scale=np.sqrt(2 * gamma), size=(inputs, width))
-        self.offset = random.uniform(0, 2 * np.pi, size=width)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        weights, offset = self.weights, self.offset
-
-        @F.pandas_udf("array<double>")
-        def project(rows: pd.Series) -> pd.Series:
-            x = np.stack(rows.to_numpy()).astype(float)
-            return pd.Series(list(np.sqrt(2.0 / len(offset)) * np.cos(x @ weights + offset)))
-
-        return dataset.withColumn("features", array_to_vector(project(vector_to_array("features"))))
-
-
-def _svm(params: dict, inputs: int, rows: float) -> Estimator:
-    machine = LinearSVC(
-        standardization=False, regParam=1.0 / (params["C"] * rows), maxIter=params.get("max_iter", 200), tol=1e-3
-    )
-    one_vs_rest = OneVsRest(
-        classifier=machine, featuresCol="features", labelCol="label_index", weightCol="weight", parallelism=3
-    )
-    if params["kernel"] == "linear":
-        return one_vs_rest
-    return Pipeline(stages=[RandomFourierFeatures(inputs, params.get("width", 200)), one_vs_rest])
-
-
 def _knn(params: dict, inputs: int, rows: float) -> Estimator:
     return NearestNeighbourClassifier(params["n_neighbors"])
 
@@ -125,7 +81,7 @@ class Family:
 FAMILIES: dict[str, Family] = {
     "majority_baseline": Family(lambda p, i, r: MajorityClassifier()),
     "logistic_regression": Family(None, {"C": [0.1, 1.0, 10.0]}, True, together.logistic),
-    "svm": Family(_svm, {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"]}, True),
+    "svm": Family(None, {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"]}, True, together.svm),
     "knn": Family(_knn, {"n_neighbors": [3, 5, 9]}, True),
     "random_forest": Family(_forest, {"n_estimators": [100, 300], "max_depth": [5, 10, None]}),
     "gradient_boosting": Family(

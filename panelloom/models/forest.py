@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.models import fleet
+from panelloom.models.fleet import count_confusion
 from panelloom.session import ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,7 +104,7 @@ def nested_scores(model: Model, candidates: Sequence[dict], check: DataFrame, cl
         for batch in batches:
             said = nested_codes(trees, np.stack(batch["x"].to_numpy()).astype(float), sizes, depths)
             y = batch["y"].to_numpy().astype(int)
-            cells = np.concatenate([fleet.count_confusion(y, said[k], classes).ravel() for k in keys])
+            cells = np.concatenate([count_confusion(y, said[k], classes).ravel() for k in keys])
             yield pd.DataFrame({"cell": np.arange(len(cells)), "n": cells})
 
     rows = check.select(vector_to_array("features").alias("x"), F.col("label_index").alias("y"))

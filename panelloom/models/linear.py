@@ -17,7 +17,7 @@ import numpy as np
 from pyspark import cloudpickle
 
 from panelloom.models import fleet
-from panelloom.models.fleet import NOBODY, Block, Blocks, Layout
+from panelloom.models.fleet import NOBODY, Block, Blocks, Layout, count_confusion
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -143,7 +143,7 @@ def confusions(blocks: Blocks, width: int, classes: int, models: Sequence[tuple[
         for m, (out, predict) in enumerate(models):
             held = block["g"] == out
             if held.any():
-                yield m, fleet.count_confusion(block["y"][held], predict(block["x"][held]), classes)
+                yield m, count_confusion(block["y"][held], predict(block["x"][held]), classes)
 
     return {m: v.reshape(classes, classes) for m, v in fleet.reduce(blocks, width, partial).items()}
 

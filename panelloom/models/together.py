@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import ordering
-from panelloom.models import boosting, fleet, linear, network
+from panelloom.models import boosting, fleet, kernel, linear, network
 from panelloom.models.fleet import NOBODY, Layout
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -110,6 +110,25 @@ def mlp(shared: Shared, candidates: Sequence[dict], whole: bool = True) -> Resul
     return _result(shared, candidates, outs, models, lambda i: models[i * len(outs) + outs.index(NOBODY)][1])
 
 
+def svm(shared: Shared, candidates: Sequence[dict], whole: bool = True) -> Result:
+    """Linear and Gaussian machines of all costs; ``width`` landmarks stand for the Gaussian kernel."""
+    outs = [*shared.outs, *([NOBODY] if whole else [])]
+    widths = [p.get("width", kernel.WIDTH) if p["kernel"] == "rbf" else 0 for p in candidates]
+    maps = {
+        (w, o): found
+        for w in sorted(set(widths) - {0})
+        for o, found in kernel.landmarks(shared.rows, "_group", shared.blocks, shared.scaled, outs, w).items()
+    }
+    pairs = kernel.pairs(shared.classes)
+    machines = [kernel.Machine(p["C"], w, o, *pair) for p, w in zip(candidates, widths) for o in outs for pair in pairs]
+    weights = kernel.train(shared.blocks, shared.scaled, maps, machines, candidates[0].get("max_iter", 200))
+    models = []
+    for at in range(0, len(machines), len(pairs)):
+        own = slice(at, at + len(pairs))
+        models.append((machines[at].out, kernel.predictor(shared.scaled, maps, machines[own], weights[own])))
+    return _result(shared, candidates, outs, models, lambda i: models[i * len(outs) + outs.index(NOBODY)][1])
+
+
 def _result(shared, candidates, outs, models, chosen) -> Result:
     found = linear.confusions(shared.blocks, shared.width, shared.classes, models) if shared.outs else {}
     by_candidate = [{o: found[i * len(outs) + j] for j, o in enumerate(outs) if i * len(outs) + j in found} for i in range(len(candidates))]
@@ -137,4 +156,4 @@ def gradient_boosting(shared: Shared, candidates: Sequence[dict], whole: bool =
     return Result(confusions, refit)
 
 
-FLEETS = {"logistic_regression": logistic, "mlp": mlp, "gradient_boosting": gradient_boosting}
+FLEETS = {"logistic_regression": logistic, "mlp": mlp, "gradient_boosting": gradient_boosting, "svm": svm}

@@ -98,6 +98,7 @@ def _register_grid(name, chosen):
 
 
 _register_grid("grid_search", some("majority_baseline", "logistic_regression", "mlp"))
+_register_grid("grid_search_svm", some("svm"))
 _register_grid("grid_search_boosting", some("gradient_boosting"))
 
 

@@ -1,12 +1,13 @@
 """Fleets of models against the same models written out plainly."""
 
+import warnings
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.models import boosting, families, fleet, forest, knn, linear, network, tuning
+from panelloom.models import boosting, families, fleet, forest, kernel, knn, linear, network, tuning
 from panelloom.models.boosting import Booster
 from panelloom.models.evaluate import MacroF1Evaluator
 from panelloom.models.fleet import NOBODY, Layout
@@ -222,3 +223,70 @@ def test_tuning_takes_whole_grids(panel):
     assert rows["logistic_regression"]["cv_macro_f1"] > rows["mlp"]["cv_macro_f1"] - 0.5 > -0.5 and rows["majority_baseline"]["cv_macro_f1"] is None
     for model in tuned.models.values():
         assert tuning.predict(model, panel, SPEC, list(NAMES)).where("prediction IS NULL").count() == 0
+
+
+def exact_machine(k, side, cost):
+    """Dual of the hinge with an offset, always along the pair that violates most."""
+    a, slope = np.zeros(len(side)), -np.ones(len(side))
+    for _ in range(200_000):
+        up = np.where(((side > 0) & (a < cost)) | ((side < 0) & (a > 0)), -side * slope, -np.inf)
+        low = np.where(((side > 0) & (a > 0)) | ((side < 0) & (a < cost)), -side * slope, np.inf)
+        i, j = up.argmax(), low.argmin()
+        if up[i] - low[j] < 1e-5:
+            break
+        move = (up[i] - low[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        move = min(move, cost[i] - a[i] if side[i] > 0 else a[i], a[j] if side[j] > 0 else cost[j] - a[j])
+        a[i] += side[i] * move
+        a[j] -= side[j] * move
+        slope += side * move * (k[:, i] - k[:, j])
+    return a * side, (up[i] + low[j]) / 2
+
+
+@pytest.mark.parametrize("block_rows, costs", [(128, [1.0]), (4096, [1.0, 10.0])])
+def test_kernel_machines_equal_exact_ones(spark, monkeypatch, block_rows, costs):
+    """500 rows; all of them as landmarks give the exact machines, a tenth nearly."""
+    monkeypatch.setattr(fleet, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = (np.hypot(x[:, 0], x[:, 1]) > 1.2).astype(int) + (x[:, 2] + 0.3 * rng.normal(size=500) > 0.5)
+    g = rng.integers(0, 5, 500)
+    frame = spark.createDataFrame([(*map(float, r), int(k), int(f)) for r, k, f in zip(x, y, g)], "a double, b double, c double, label_index int, _group int")
+    layout = Layout(NAMES, 3, {o: np.median(x[g != o], axis=0) for o in (NOBODY, 1)})
+    blocks = fleet.pack(frame, NAMES, "label_index", "_group")
+    scaled = linear.scaling(blocks, layout, [NOBODY, 1])
+    maps = {(w, o): m for w in (500, 50) for o, m in kernel.landmarks(frame, "_group", blocks, scaled, [NOBODY, 1], w).items()}
+    machines = [kernel.Machine(c, w, o, *p) for c in costs for w in (500, 50, 0) for o in (NOBODY, 1) for p in kernel.pairs(3)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)  # all of them converge
+        weights = kernel.train(blocks, scaled, maps, machines)
+    assert kernel.kernel_error(maps[500, NOBODY], scaled.scaled(x, NOBODY)) < 1e-6
+    assert kernel.kernel_error(maps[50, NOBODY], scaled.scaled(x, NOBODY)) < 0.02
+    for at in range(0, len(machines), 3):
+        m = machines[at]
+        used, z = g != m.out, scaled.scaled(x, m.out)
+        kept, n = y[used], used.sum()
+        assert m.width == 0 or maps[m.width, m.out].gamma == pytest.approx(1 / 3)
+        if m.width:  # landmarks are rows the model may see
+            assert all((np.abs(z[used] - p).max(axis=1) < 1e-9).any() for p in maps[m.width, m.out].points)
+        votes = np.zeros((500, 3))
+        for a, b in kernel.pairs(3):
+            own = used & ((y == a) | (y == b))
+            k = (lambda u, v: kernel.gaussian(u, v, 1 / 3)) if m.width else (lambda u, v: u @ v.T)
+            alpha, offset = exact_machine(k(z[own], z[own]), np.where(y[own] == a, 1.0, -1.0), m.cost * (n / (3 * np.bincount(kept)))[y[own]])
+            votes[np.arange(500), np.where(k(z, z[own]) @ alpha + offset > 0, a, b)] += 1
+        said = kernel.predictor(scaled, maps, machines[at : at + 3], weights[at : at + 3])(x)
+        agree = (said == votes.argmax(axis=1)).mean()
+        assert agree >= (0.95 if m.width == 50 else 0.99)
+
+
+def test_kernel_machines_of_few_labels(spark):
+    """A label without rows gets no votes; all rows alike leave no kernel to speak of."""
+    frame = spark.createDataFrame([(1.0, None, 2.0, 1, i % 2) for i in range(6)], "a double, b double, c double, label_index int, _group int")
+    layout = Layout(NAMES, 3, {o: np.zeros(3) for o in (NOBODY, 0)})
+    blocks = fleet.pack(frame, NAMES, "label_index", "_group")
+    scaled = linear.scaling(blocks, layout, [NOBODY, 0])
+    maps = {(4, o): m for o, m in kernel.landmarks(frame, "_group", blocks, scaled, [NOBODY, 0], 4).items()}
+    for width in (0, 4):
+        machines = [kernel.Machine(1.0, width, 0, *p) for p in kernel.pairs(3)]
+        weights = kernel.train(blocks, scaled, maps, machines)
+        assert (kernel.predictor(scaled, maps, machines, weights)(np.array([[1.0, np.nan, 2.0], [9.0, 9.0, 9.0]])) == 1).all()

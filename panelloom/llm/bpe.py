@@ -5,9 +5,10 @@ passage that several documents share is cut alike in all of them. Chunk hashes
 are counted over the corpus. A text none of whose chunks occurs elsewhere is
 encoded where it is read. For the others, every distinct chunk is encoded once
 and its tokens are joined back. A chunk's own tokens may differ from those that
-its text gets inside a document, so each join is repaired: tokens between the
-nearest places on both sides where the tokenizer always splits (a blank after a
-character that is not white space) are encoded again as one piece.
+its text gets inside a document, so the joins are repaired: tokens between two
+places where the tokenizer always splits (a blank after a character that is not
+white space) are encoded again as one piece, once, if chunks meet among them. A
+text without such places is encoded once more as a whole.
 
 Which chunks are shared is told to the readers by a bit field of fixed size. A
 false positive only sends a text the other way; the results do not depend on it.
@@ -74,8 +75,8 @@ class Codec:
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
         self.decimal = [str(i) for i in range(size)]
-        self.opens = [b[:1] in (b" ", b"\n", b"\t", b"\r") for b in self.bytes_of]
-        self.closes = [_ends_solid(b) for b in self.bytes_of]
+        self.opens = np.array([b[:1] in (b" ", b"\n", b"\t", b"\r") for b in self.bytes_of])
+        self.closes = np.array([_ends_solid(b) for b in self.bytes_of])
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; strings of added tokens get their ids."""
@@ -90,20 +91,37 @@ class Codec:
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
+    def joined(self, parts) -> list[int]:
+        """Ids of the joined texts from the ids of each, which are arrays or lists.
+
+        What lies between two places where the tokenizer always splits is encoded
+        again once if parts meet in it, however many they are.
+        """
+        done: list[int] = []
+        run: list[list[int]] = []  # ids since the last such place, by part
+        for part in parts:
+            ids = np.asarray(part, np.int64)
+            if not len(ids):
+                continue
+            places = np.flatnonzero(self.opens[ids[1:]] & self.closes[ids[:-1]]) + 1
+            if not len(places):
+                run.append(ids.tolist())
+                continue
+            first, last = int(places[0]), int(places[-1])
+            run.append(ids[:first].tolist())
+            done += self._repaired(run)
+            done += ids[first:last].tolist()
+            run = [ids[last:].tolist()]
+        return done + self._repaired(run)
+
+    def _repaired(self, run: list[list[int]]) -> list[int]:
+        if len(run) < 2:
+            return run[0] if run else []
+        return self.plain(b"".join([self.decode(ids) for ids in run]).decode())
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """Ids of the joined texts from the ids of each."""
-        if not left or not right:
-            return left + right
-        i = len(left) - 1
-        while i > 0 and not (self.opens[left[i]] and self.closes[left[i - 1]]):
-            i -= 1
-        j = 1
-        while j < len(right) and not (self.opens[right[j]] and self.closes[right[j - 1]]):
-            j += 1
-        middle = self.plain(self.decode(left[max(i, 0) :] + right[:j]).decode())
-        left[max(i, 0) :] = middle
-        left += right[j:]
-        return left
+        """Ids of two joined texts."""
+        return self.joined([left, right])
 
 
 def _ends_solid(token: bytes) -> bool:
@@ -274,10 +292,7 @@ def _assemble(name: str):
         for batch in batches:
             out = []
             for pieces in batch.column("pieces").to_pylist():
-                ids: list[int] = []
-                for piece in pieces:
-                    ids = tool.join(ids, np.frombuffer(piece["ids"], tool.kind).tolist())
-                out.append(_finish(tool, ids))
+                out.append(_finish(tool, tool.joined(np.frombuffer(piece["ids"], tool.kind) for piece in pieces)))
             yield _batch(
                 [batch.column("digest").to_pylist(), *(zip(*out) if out else ((), (), ()))],
                 "digest binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string",

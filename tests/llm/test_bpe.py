@@ -66,6 +66,22 @@ def test_joins_are_repaired_exactly(parts):
     for part in parts:
         ids = tool.join(ids, tool.plain(part))
     assert ids == tool.plain("".join(parts))
+    assert tool.joined([tool.plain(p) for p in parts]) == ids
+
+
+def test_long_texts_without_blanks_are_joined_in_one_go(monkeypatch):
+    """Every byte is encoded again once at most, however many chunks have no place to split."""
+    rng = np.random.default_rng(5)
+    tool = bpe.codec()
+    signs = "".join(map(chr, rng.integers(0x4E00, 0x9000, 400_000)))
+    text = f"{signs} and so on. {signs[:1000]}"
+    pieces = bpe.chunks(text.encode())
+    assert len(pieces) > 300
+    parts = [tool.plain(p.decode()) for p in pieces]
+    want, again, plain = tool.plain(text), [], tool.plain
+    monkeypatch.setattr(tool, "plain", lambda t: again.append(len(t)) or plain(t))
+    assert tool.joined(parts) == want
+    assert sum(again) <= len(text)
 
 
 @settings(max_examples=60, deadline=None)

@@ -41,6 +41,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # returns k rows for every query it meets.
 BLOCK_ROWS = 1024
 TRAIN_BLOCK_FACTOR = 8
+# Pivots travel in closures, with a matrix of their distances (8 MB). A table too
+# large for so many small groups gets larger ones, which are cut into more blocks.
+MOST_PIVOTS = 1024
 
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -181,7 +184,7 @@ def nearest_neighbours(
     (test_id, neighbour, distance, place[, carry]), place counting from 1.
     """
     if pivots is None:
-        pivots = int(max(4, train.count() ** 0.5 / 4))
+        pivots = int(min(MOST_PIVOTS, max(4, train.count() ** 0.5 / 4)))
     centres = _choose_pivots(train, train_id, vector, pivots)
     extra = [F.col(carry).alias("carry")] if carry else []
     training = _with_cell(train, vector, centres).select(

@@ -12,6 +12,7 @@ from panelloom.plans.catalog.registry import (
     DAILY,
     NUMERIC,
     PANEL,
+    READINGS,
     ROWS,
     band,
     query,
@@ -23,11 +24,14 @@ from panelloom.spec import EVENTS
 KEY = EVENTS.key
 
 
-@query("scan_panel", f"WITH {DAILY} SELECT subject_id, day, score, secondary, label FROM answers", "score secondary")
+@query(
+    "scan_panel",
+    f"WITH {READINGS} SELECT subject_id, day, value AS score, k AS secondary, {band('value')} AS label FROM readings",
+    "score secondary",
+)
 def scan_panel(spark, folder):
     """Load a table and bring its role columns to the panel types."""
-    events = src.table(spark, folder, "events").where(F.col("event_type") == "purchase")
-    loaded = events.select(
+    loaded = src.table(spark, folder, "events").select(
         F.col("user_id").alias("subject_id"),
         F.col("ts").alias("day"),
         F.col("value").alias("score"),

@@ -11,6 +11,14 @@ found, never all pairs.
 Trees are not broadcast to the whole cluster, because their number grows with
 the input: a shard's trees go to that shard's queries, at most TILE of each.
 
+Four bits of 64 find copies that differ in a few words. The pipeline's stage
+reaches further: its fingerprints have WIDE bits over the distinct five-word
+shingles, and two of them are near if at least NEAR of their bits agree. So many
+differing bits leave no block alike, hence the shards of the stage are bands of
+minima of universal hashes over the same shingles (documents with 0.8 of their
+shingles in common share a band but for one in 10,000, with 0.65 but for one in
+50). Of texts with the same wide fingerprint one text's bands count for all.
+
 Edge cases: null texts are empty; texts without a word have fingerprint zero,
 linked like any other. A null doc_id is ignored as a component's smallest
 unless all its documents lack one (component_id is null then). Repeated rows
@@ -30,6 +38,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import attach, cut_lineage, identified, keep_rows, read, ready
 from panelloom.llm.components import components
+from panelloom.llm.fingerprints import Hasher, mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,6 +51,13 @@ PAIRS = list(combinations(range(6), 2))
 # Fingerprints of one tree. A larger shard is cut into tiles, and each pair of
 # tiles is a task of its own.
 TILE = 1_024
+# The stage's fingerprints: bits, the share of them that near ones have alike, and
+# the bands of minima that make its shards.
+WIDE = 256
+NEAR = 0.8
+WIDE_RADIUS = int(WIDE * (1 - NEAR))
+BANDS, ROWS = 20, 4
+STRIP = 255  # shingles looked at together; their ones fit into a byte
 
 
 def fingerprint(text: bytes, hasher) -> int:
@@ -80,6 +96,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return identified(docs).mapInArrow(_fingerprints, "doc_id bigint, text_key bigint, print bigint")
 
 
+class WideHasher:
+    """Wide fingerprint and bands of a text."""
+
+    def __init__(self) -> None:
+        self.hasher = Hasher()
+        self.times, self.plus = self.hasher.times[: BANDS * ROWS], self.hasher.plus[: BANDS * ROWS]
+        self.salts = mix(np.arange(1, WIDE // 64 + 1, dtype=np.uint64))
+        self.places = mix(np.arange(1, ROWS + 1, dtype=np.uint64) << np.uint64(32)) | np.uint64(1)
+        self.numbers = mix(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(16))
+
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
+        shingles = np.unique(self.hasher.shingles(text))
+        if not len(shingles):
+            return bytes(WIDE // 8), np.empty(0, np.int64)
+        ones = np.zeros(WIDE, np.int64)
+        least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for at in range(0, len(shingles), STRIP):
+            part = shingles[at : at + STRIP]
+            words = mix(part[:, None] + self.salts[None, :])
+            ones += np.add.reduce(np.unpackbits(words.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+            np.minimum(least, (self.times * part[None, :] + self.plus).min(axis=1), out=least)
+        bands = mix((mix(least).reshape(BANDS, ROWS) * self.places).sum(axis=1, dtype=np.uint64) + self.numbers)
+        return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes(), bands.view(np.int64)
+
+
+def _wide(batches):
+    hasher = WideHasher()
+    for batch in batches:
+        found = [hasher(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_key"), pa.array([f for f, _ in found], pa.binary()),
+             pa.array([b.tolist() for _, b in found], pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "print", "bands"],
+        )
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, print, bands), the fingerprint as bytes."""
+    return identified(docs).mapInArrow(_wide, "doc_id bigint, text_key bigint, print binary, bands array<bigint>")
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word each, or of rows of several words."""
+    bits = np.bitwise_count(a ^ b).astype(np.int64)
+    return bits.sum(axis=-1) if bits.ndim > 1 else bits
+
+
 def build_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parent and edge of every point of a BK-tree whose root is the first point.
 
@@ -89,8 +152,8 @@ def build_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parent, edge = np.full(len(points), -1), np.zeros(len(points), np.int64)
     falling, at = np.arange(1, len(points)), np.zeros(max(0, len(points) - 1), np.int64)
     while len(falling):
-        apart = np.bitwise_count(points[falling] ^ points[at]).astype(np.int64)
-        _, first, place = np.unique(at * 65 + apart, return_index=True, return_inverse=True)
+        apart = distance(points[falling], points[at])
+        _, first, place = np.unique(at * (WIDE + 1) + apart, return_index=True, return_inverse=True)
         child = falling[first]
         parent[child], edge[child] = at[first], apart[first]
         rest = np.ones(len(falling), bool)
@@ -107,7 +170,7 @@ def search_tree(points: np.ndarray, parent: np.ndarray, edge: np.ndarray, querie
     asked, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
     found_q, found_p = [], []
     while len(asked):
-        apart = np.bitwise_count(queries[asked] ^ points[node]).astype(np.int64)
+        apart = distance(queries[asked], points[node])
         hit = apart <= radius
         found_q.append(asked[hit])
         found_p.append(node[hit])
@@ -134,16 +197,15 @@ def forest(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def shard_links(tree: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(tree: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the fingerprints of a tree and its queries: a spanning forest."""
-    if len(tree) + len(queries) == 2:
-        a, b = [*tree, *queries]
-        near = int(a ^ b).bit_count() <= RADIUS
-        return (np.array([a]), np.array([b])) if near else (tree[:0], tree[:0])
     everything = np.concatenate([tree, queries])
+    if len(everything) == 2:
+        near = distance(everything[:1], everything[1:])[0] <= radius
+        return (everything[:1], everything[1:]) if near else (tree[:0], tree[:0])
     parent, edge = build_tree(tree)
     # The tile's own links are found where it meets itself.
-    asked, point = search_tree(tree, parent, edge, queries if len(queries) else tree, RADIUS)
+    asked, point = search_tree(tree, parent, edge, queries if len(queries) else tree, radius)
     root = forest(len(everything), asked + (len(tree) if len(queries) else 0), point)
     moved = np.flatnonzero(root != np.arange(len(root)))
     return everything[moved], everything[root[moved]]
@@ -161,6 +223,16 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _wide_links(batches):
+    def points(prints):
+        return np.frombuffer(b"".join(prints), np.uint64).reshape(-1, WIDE // 64)
+
+    for batch in batches:
+        for tree, queries in zip(batch.column("tree").to_pylist(), batch.column("queries").to_pylist()):
+            found = shard_links(points(tree), points(queries), WIDE_RADIUS)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in side], pa.binary()) for side in found], ["a", "b"])
+
+
 def _block(number: int):
     start, width = BLOCKS[number]
     return F.shiftrightunsigned("print", start).bitwiseAND(F.lit((1 << width) - 1))
@@ -171,8 +243,21 @@ def links(prints: DataFrame) -> DataFrame:
     keys = [_block(i) * 2048 + _block(j) + F.lit(t << 22) for t, (i, j) in enumerate(PAIRS)]
     keyed = prints.select("print", F.explode(F.array(*keys)).alias("shard"))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    return _meetings(keyed.join(sizes, "shard")).mapInArrow(_links, "a bigint, b bigint").distinct()
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between near wide fingerprints that share a band; nodes are (print, bands), a print once."""
+    keyed = nodes.select("print", F.explode("bands").alias("shard"))
+    # Bands of one document only are most; a shard of many near copies is joined by broadcast.
+    sizes = cut_lineage(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+    return _meetings(attach(keyed, sizes, "shard", "n")).mapInArrow(_wide_links, "a binary, b binary").distinct()
+
+
+def _meetings(keyed: DataFrame) -> DataFrame:
+    """(tree, queries) of every pair of tiles; keyed is (print, shard, n), n the members of a shard."""
     tiles = F.ceil(F.col("n") / TILE)
-    members = keyed.join(sizes, "shard").select(
+    members = keyed.select(
         "shard", "print", tiles.alias("tiles"), F.pmod(F.xxhash64("print"), tiles).alias("tile")
     )
     # A tile meets itself and every other tile of its shard once.
@@ -188,16 +273,18 @@ def links(prints: DataFrame) -> DataFrame:
         .where(F.size("tree") + F.size("queries") > 1)
         .where(F.size("tree") > 0)
     )
-    return groups.select("tree", "queries").mapInArrow(_links, "a bigint, b bigint").distinct()
+    return groups.select("tree", "queries")
 
 
-def _components_of(rows: DataFrame) -> DataFrame:
+def _components_of(rows: DataFrame, wide: bool = False) -> DataFrame:
     """(print, root, component_id, members): rows are (doc_id, print), members counts rows of a print.
 
     The root names a component; component_id may be null or shared by several.
     """
-    nodes = cut_lineage(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")))
-    roots = components(links(nodes.select("print"))).withColumnRenamed("node", "print")
+    bands = [F.min("bands").alias("bands")] if wide else []
+    nodes = cut_lineage(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), *bands))
+    found = wide_links(nodes.select("print", "bands")) if wide else links(nodes.select("print"))
+    roots = components(found).withColumnRenamed("node", "print")
     rooted = cut_lineage(nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
     return cut_lineage(attach(rooted, lowest, "root", "prints").select("print", "root", "component_id", "members"))
@@ -216,10 +303,10 @@ def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
+    """One document of each component of near wide fingerprints stays: the one with the smallest doc_id."""
     ready(spark)
-    rows = cut_lineage(fingerprints(docs))
-    found = _components_of(rows)
+    rows = cut_lineage(wide_fingerprints(docs))
+    found = _components_of(rows, wide=True)
     # Only rows that carry their component's id can stay; those are few per component.
     named = rows.join(
         found.select(F.col("print").alias("_print"), "root", "component_id"),

@@ -1,7 +1,8 @@
 """Exact and near dedup against brute force."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import xxhash
 
 from panelloom.llm import components, exact, simhash
 from panelloom.llm.common import read
+from panelloom.llm.fingerprints import Hasher
 from tests.llm.conftest import LARGER, ODD
 
 
@@ -105,6 +107,38 @@ def test_near_stage_keeps_one_of_each(spark, docs_of):
     assert sorted(set(ids)) == sorted({r["component_id"] for r in got if r["component_id"] is not None})
 
 
+def test_near_stage_against_all_pairs(spark):
+    docs = read(spark, LARGER, "documents")
+    hasher = Hasher()
+    sets = {r.doc_id: set(hasher.shingles(r.text or "").tolist()) for r in docs.collect()}
+    holders = {}
+    for doc_id, shingles in sets.items():
+        for shingle in shingles:
+            holders.setdefault(shingle, []).append(doc_id)
+    shared = Counter(pair for ids in holders.values() for pair in combinations(sorted(ids), 2))
+    alike = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items()}
+    kept = {r.doc_id for r in simhash.stage(spark, docs, "").select("doc_id").collect()}
+    near = [pair for pair, share in alike.items() if share >= 0.8]
+    missed = [pair for pair in near if kept.issuperset(pair)]
+    assert len(near) > 50 and len(missed) <= 0.02 * len(near)
+    # What went has a likeness to something: no clean document is lost.
+    close = {i for pair, share in alike.items() if share >= 0.45 for i in pair}
+    assert all(i in close or not sets[i] for i in sets.keys() - kept)
+
+
+def test_near_stage_with_shards_of_several_tiles(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(100)]
+    rows += [(1_000 + i, " ".join(f"x{i}y{j}" for j in range(50))) for i in range(20)]
+    kept = sorted(r.doc_id for r in simhash.stage(spark, docs_of(rows), "").collect())
+    assert kept == [0, *range(1_000, 1_020)]
+
+
+def test_near_stage_of_nothing(spark, docs_of):
+    assert simhash.stage(spark, docs_of([(1, "a")]).limit(0), "").count() == 0
+
+
 def test_near_stage_keeps_unlike_texts_without_or_with_one_id(spark, docs_of):
     unlike = ["the first text is about trees and rivers", "prices of copper rose again in march", "él no sabe nada de eso"]
     rows = [(None, t) for t in unlike] + [(None, unlike[0])] + [(7, "a song of the sea at night"), (7, "how to bake bread at home")]

@@ -223,13 +223,21 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _wide_links(batches):
-    def points(prints):
-        return np.frombuffer(b"".join(prints), np.uint64).reshape(-1, WIDE // 64)
+def _points(prints) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(-1, WIDE // 64)
+
 
+def _near_hub(batches):
+    for batch in batches:
+        apart = distance(*(_points(batch.column(name).to_pylist()) for name in ("print", "hub")))
+        near = batch.filter(pa.array(apart <= WIDE_RADIUS))
+        yield pa.RecordBatch.from_arrays([near.column("print"), near.column("hub")], ["a", "b"])
+
+
+def _wide_links(batches):
     for batch in batches:
         for tree, queries in zip(batch.column("tree").to_pylist(), batch.column("queries").to_pylist()):
-            found = shard_links(points(tree), points(queries), WIDE_RADIUS)
+            found = shard_links(_points(tree), _points(queries), WIDE_RADIUS)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in side], pa.binary()) for side in found], ["a", "b"])
 
 
@@ -243,27 +251,55 @@ def links(prints: DataFrame) -> DataFrame:
     keys = [_block(i) * 2048 + _block(j) + F.lit(t << 22) for t, (i, j) in enumerate(PAIRS)]
     keyed = prints.select("print", F.explode(F.array(*keys)).alias("shard"))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    return _meetings(keyed.join(sizes, "shard")).mapInArrow(_links, "a bigint, b bigint").distinct()
+    tiles = F.ceil(F.col("n") / TILE)
+    members = keyed.join(sizes, "shard").select(
+        "shard", "print", tiles.alias("meets"), F.pmod(F.xxhash64("print"), tiles).alias("tile")
+    )
+    return _meetings(members).mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between near wide fingerprints that share a band; nodes are (print, bands), a print once."""
-    keyed = nodes.select("print", F.explode("bands").alias("shard"))
-    # Bands of one document only are most; a shard of many near copies is joined by broadcast.
-    sizes = cut_lineage(keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
-    return _meetings(attach(keyed, sizes, "shard", "n")).mapInArrow(_wide_links, "a binary, b binary").distinct()
+    """Links (a, b) whose components are those of all pairs of near wide fingerprints that share a band.
 
-
-def _meetings(keyed: DataFrame) -> DataFrame:
-    """(tree, queries) of every pair of tiles; keyed is (print, shard, n), n the members of a shard."""
-    tiles = F.ceil(F.col("n") / TILE)
-    members = keyed.select(
-        "shard", "print", tiles.alias("tiles"), F.pmod(F.xxhash64("print"), tiles).alias("tile")
+    nodes are (print, bands), a print once. Every print is first compared with
+    the least one of each of its shards, its hub. What this connects is not
+    compared again: of a shard with several components, the members outside the
+    first one meet one another and those of the first. So a shard of many copies
+    of one text costs its members once, not their pairs.
+    """
+    keyed = nodes.select("print", F.explode("bands").alias("shard"))
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("print").alias("hub")).where("n > 1")
+    members = cut_lineage(attach(keyed, cut_lineage(sizes), "shard", "n"))
+    hubs = members.where("print <> hub").select("print", "hub").distinct()
+    stars = cut_lineage(hubs.mapInArrow(_near_hub, "a binary, b binary"))
+    roots = components(stars).select(F.col("node").alias("print"), "root")
+    labelled = members.join(roots, "print", "left").select("shard", "print", F.coalesce("root", "print").alias("label"))
+    labelled = cut_lineage(labelled)
+    counted = labelled.groupBy("shard", "label").agg(F.count("*").alias("c"))
+    shards = counted.groupBy("shard").agg(
+        F.min(F.struct("label", "c")).alias("first"), F.max("label").alias("last"), F.sum("c").alias("n")
+    )
+    parted = cut_lineage(
+        shards.where("first.label <> last").select("shard", "n", F.col("first.label").alias("first"), F.col("first.c").alias("c"))
     )
-    # A tile meets itself and every other tile of its shard once.
-    met = members.select(
-        "shard", "print", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    inner, outer = F.ceil(F.col("c") / TILE), F.ceil((F.col("n") - F.col("c")) / TILE)
+    dealt = F.xxhash64("print")
+    # Tiles of the first component are numbered after the others and meet those only.
+    split = attach(labelled, parted, "shard", "n").select(
+        "shard",
+        "print",
+        F.when(F.col("label") == F.col("first"), outer).otherwise(outer + inner).alias("meets"),
+        F.when(F.col("label") == F.col("first"), outer + F.pmod(dealt, inner)).otherwise(F.pmod(dealt, outer)).alias("tile"),
     )
+    return stars.unionByName(_meetings(split).mapInArrow(_wide_links, "a binary, b binary")).distinct()
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """(tree, queries) of every pair of tiles that meet; members are (shard, print, tile, meets).
+
+    A tile meets those numbered below ``meets``, itself among them or not, each once.
+    """
+    met = members.select("shard", "print", "tile", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
     groups = (
         met.groupBy("shard", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
         .agg(

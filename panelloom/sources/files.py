@@ -65,23 +65,40 @@ MISSING = [
 ]
 
 
-def _headers(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+Headers = dict[tuple[str, ...], list[str]]
+
+
+def line_facts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, header, lines, checksum) of every file that holds a line.
+
+    The checksum is a sum of line hashes: it does not depend on the order of
+    lines, as no daily column does, and a large file is summed in pieces.
+    """
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+    return lines.groupBy("path").agg(
+        F.min_by("value", F.when(F.col("_block") == 0, F.col("_at"))).alias("header"),
+        F.count("*").alias("lines"),
+        F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("checksum"),
+    )
+
+
+def column_names(header: str) -> tuple[str, ...]:
+    return tuple(n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]), []))
+
+
+def _headers(spark: SparkSession, pattern: str) -> Headers:
     """Paths by the column names in their first line.
 
     One line per file comes to the driver, which has to list the files anyway.
     """
-    first = (
-        spark.read.text(pattern)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"),
-                F.col("_metadata.file_block_start").alias("_block"))
-        .where("_block = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", "_at").alias("header"))
-    )
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in first.toLocalIterator():
-        names = next(csv.reader([row.header.lstrip("\ufeff")]), [])
-        found.setdefault(tuple(n.strip() for n in names), []).append(row.path)
+    found: Headers = {}
+    for row in line_facts(spark, pattern).select("path", "header").toLocalIterator():
+        found.setdefault(column_names(row.header), []).append(row.path)
     return found
 
 
@@ -99,16 +116,21 @@ def scan_modality(spark: SparkSession, root: str, modality: str, subject: str =
     Files are read by column name: columns may come in any order, unknown ones
     are ignored and absent ones are null. Files with the same header share one scan.
     """
-    schema = schema_of(modality)
-    owner = F.regexp_extract(F.col("_metadata.file_path"), _FOLDER, 1)
-    empty = T.StructType([T.StructField(subject, T.StringType()), *schema.fields])
-    scans = [spark.createDataFrame([], empty)]
     try:
         headers = _headers(spark, f"{root}/*/{modality}.csv")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         headers = {}
+    return scan_files(spark, headers, modality, subject).drop("path")
+
+
+def scan_files(spark: SparkSession, headers: Headers, modality: str, subject: str = "subject_id") -> DataFrame:
+    """Readings of one kind from given files, (path, subject, columns of the kind)."""
+    schema = schema_of(modality)
+    path = F.col("_metadata.file_path")
+    front = [T.StructField("path", T.StringType()), T.StructField(subject, T.StringType())]
+    scans = [spark.createDataFrame([], T.StructType([*front, *schema.fields]))]
     for names, paths in sorted(headers.items()):
         texts = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
         raw = spark.read.schema(texts).option("header", True).option("encoding", "UTF-8").csv(paths)
@@ -117,20 +139,22 @@ def scan_modality(spark: SparkSession, root: str, modality: str, subject: str =
             (_typed(cells[f.name], f.dataType) if f.name in cells else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema.fields
         ]
-        scans.append(raw.select(owner.alias(subject), *typed))
+        scans.append(raw.select(path.alias("path"), F.regexp_extract(path, _FOLDER, 1).alias(subject), *typed))
     union = reduce(DataFrame.unionByName, scans[1:] or scans)
     return union.where(F.col(subject).rlike("^[0-9]+$"))
 
 
 def list_files(spark: SparkSession, root: str, subject: str = "subject_id") -> DataFrame:
-    """(subject, modality) of every reading file that exists, empty ones too."""
-    paths = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(f"{root}/*/*.csv")
-        .select("path")
-    )
-    return paths.select(
-        F.regexp_extract("path", _FOLDER, 1).alias(subject),
-        F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("modality"),
+    """(path, length, modified, subject, modality) of every reading file, those without a row too.
+
+    Only the listing is read, not the files; Spark leaves out files of no bytes.
+    """
+    path = F.col("_metadata.file_path")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{root}/*/*.csv")
+    return found.select(
+        path.alias("path"),
+        F.col("length"),
+        F.col("modificationTime").alias("modified"),
+        F.regexp_extract(path, _FOLDER, 1).alias(subject),
+        F.regexp_extract(path, r"([^/]+)\.csv$", 1).alias("modality"),
     ).where(F.col(subject).rlike("^[0-9]+$") & F.col("modality").isin(MODALITIES))

@@ -7,6 +7,7 @@ Every daily feature of every kind can then be computed by one grouping over
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,18 +65,23 @@ def file_day(modality: str) -> Column:
 
 def file_readings(spark: SparkSession, root: str, spec: PanelSpec = WEARABLE) -> DataFrame:
     """Union of the seven file scans; rows without a readable day stay, for audits."""
+    return _long({m: files.scan_modality(spark, root, m, spec.subject) for m in files.MODALITIES}, spec)
+
+
+def readings_of(spark: SparkSession, headers: dict[str, files.Headers], spec: PanelSpec = WEARABLE) -> DataFrame:
+    """Readings of the files named by kind and header, with their path."""
+    scans = {m: files.scan_files(spark, headers.get(m, {}), m, spec.subject) for m in files.MODALITIES}
+    return _long(scans, spec, "path")
+
+
+def _long(scans: dict[str, DataFrame], spec: PanelSpec, *keep: str) -> DataFrame:
     parts = []
-    for modality in files.MODALITIES:
-        scan = files.scan_modality(spark, root, modality, spec.subject)
+    for modality, scan in scans.items():
         # The target and a device reading share names, so sources get a prefix.
         sources = [F.col(c).alias(f"{modality}__{c}") for c in files.value_columns(modality)]
-        parts.append(
-            scan.select(spec.subject, file_day(modality).alias(spec.day), F.lit(modality).alias("modality"), *sources)
-        )
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part, allowMissingColumns=True)
-    return union
+        day = file_day(modality).alias(spec.day)
+        parts.append(scan.select(*keep, spec.subject, day, F.lit(modality).alias("modality"), *sources))
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
 
 
 def _prefixed(measures: list[Measure]) -> list[Measure]:

@@ -176,7 +176,8 @@ RANKED = """ranked AS (
   FROM pairs WHERE y IS NOT NULL),
 spearman AS (
   SELECT feature, count(*) AS pairs, CASE WHEN count(*) >= 20 THEN corr(rx, ry) END AS rho FROM ranked GROUP BY 1)"""
-SPEARMAN = f"pairs AS ({long_sql('panel', FEATURES, 'score AS y')}), {RANKED}"
+_EVEN = ", ".join(f"round({c}, 9) AS {c}" for c in ["score", *FEATURES])
+SPEARMAN = f"even AS (SELECT {_EVEN} FROM panel), pairs AS ({long_sql('even', FEATURES, 'score AS y')}), {RANKED}"
 
 
 def _spearman(spark, folder):
@@ -439,7 +440,7 @@ def order_spearman(spark, folder):
     """Features are rounded first: deviations that tie on paper then tie in ranks."""
     panel = panels.order_panel(spark, folder)
     even = panel.select("score", *[F.round(f, 9).alias(f) for f in _ORDER_FEATURES])
-    return profile.spearman(even, "score", _ORDER_FEATURES, 20)
+    return profile.spearman(even, "score", _ORDER_FEATURES, 20, digits=None)
 
 
 @query(

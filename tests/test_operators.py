@@ -387,3 +387,12 @@ def test_narrow_columns_do_not_meet_in_one_window(spark):
     assert got[0.5] == pytest.approx(1000.0499995, abs=1e-9) and got[1.0] == 1000 + 99_999 / 1000000
     ranks = ordering.average_ranks(frame.selectExpr("x", "1L AS n", "'f' AS feature"), ["feature"], "x")
     assert ranks.where("abs(avg_rank - (round((x - 1000) * 1000000) + 1)) > 0.01").count() == 0
+
+
+def test_ranks_tie_where_values_tie_on_paper(spark):
+    """Sums in another order differ in their last bits, which must not split a tie."""
+    rows = [(0.1 + 0.2, 1.0), (0.3, 2.0), (0.3, 0.6 + 0.3), (0.7, 0.9), (1.5, 2.5)]
+    frame = spark.createDataFrame(rows, "x double, y double")
+    paper = spark.createDataFrame([(round(x, 9), round(y, 9)) for x, y in rows], "x double, y double")
+    rho = lambda f, **kw: profile.spearman(f, "y", ["x"], **kw).first()["rho"]
+    assert rho(frame) == rho(paper, digits=None) != rho(frame, digits=None)

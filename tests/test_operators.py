@@ -2,9 +2,11 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,3 +398,33 @@ def test_ranks_tie_where_values_tie_on_paper(spark):
     paper = spark.createDataFrame([(round(x, 9), round(y, 9)) for x, y in rows], "x double, y double")
     rho = lambda f, **kw: profile.spearman(f, "y", ["x"], **kw).first()["rho"]
     assert rho(frame) == rho(paper, digits=None) != rho(frame, digits=None)
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Only the first k of equal training rows, and one of equal queries, are compared; all queries get their rows."""
+    left = spark.createDataFrame([(i, [0.0, 1.0] if i < 500 else [float(i), 0.0], i % 3) for i in range(520)], "id int, v array<double>, label int")
+    right = spark.createDataFrame([(1000 + i, [0.0, 1.0] if i < 300 else [float(500 + i - 300), 0.1]) for i in range(310)], "id int, v array<double>")
+    seen, compared = [], knn._compared
+    monkeypatch.setattr(knn, "_compared", lambda q, t, *rest: seen.append((q.count(), t.count())) or compared(q, t, *rest))
+    got = {}
+    for r in knn.nearest_neighbours(left, right, 4, "id", "id", "v", "label").collect():
+        got.setdefault(r["id"], []).append((r["place"], r["neighbour"], r["distance"], r["label"]))
+    assert seen[0] == (11, 24)
+    rows = [(r["id"], r["v"], r["label"]) for r in left.collect()]
+    for q in right.collect():
+        near = sorted((math.dist(v, q["v"]), i, label) for i, v, label in rows)[:4]
+        assert [(n, label) for _, n, _, label in sorted(got[q["id"]])] == [(i, label) for _, i, label in near]
+        assert [d for _, _, d, _ in sorted(got[q["id"]])] == pytest.approx([d for d, _, _ in near])
+
+
+def test_products_only_rule_out_what_is_far():
+    """Same neighbours and the same bits as by direct differences, near ties and far origins included."""
+    rng = np.random.default_rng(1)
+    for shift in (0.0, 1e6):
+        centres = np.repeat(rng.normal(size=(150, 5)), 3, axis=0) + shift
+        centres[::3] += 1e-13
+        points = np.concatenate([centres[:40], rng.normal(size=(60, 5)) + shift])
+        d = knn._distances(points, centres)
+        rows, columns = knn._nearest_columns(d, 4)
+        found = knn._nearest(points, centres, 4)
+        assert (found[0] == rows).all() and (found[1] == columns).all() and (found[2] == d[rows, columns]).all()

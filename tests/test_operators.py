@@ -428,3 +428,10 @@ def test_products_only_rule_out_what_is_far():
         rows, columns = knn._nearest_columns(d, 4)
         found = knn._nearest(points, centres, 4)
         assert (found[0] == rows).all() and (found[1] == columns).all() and (found[2] == d[rows, columns]).all()
+
+
+def test_draws_are_dealt_out_before_they_are_drawn(spark):
+    """Many draws of few subjects are not made in one task."""
+    frame = spark.createDataFrame([(str(i), "Low", "High") for i in range(20)], "s string, label string, prediction string")
+    plan = robustness.bootstrap_draws(frame, "s", draws=50)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.models import boosting, families, fleet, forest, kernel, knn, linear, network, tuning
+from panelloom.models import boosting, families, fleet, forest, kernel, knn, linear, network, together, tuning
 from panelloom.models.boosting import Booster
 from panelloom.models.evaluate import MacroF1Evaluator
 from panelloom.models.fleet import NOBODY, Layout
@@ -290,3 +290,31 @@ def test_kernel_machines_of_few_labels(spark):
         machines = [kernel.Machine(1.0, width, 0, *p) for p in kernel.pairs(3)]
         weights = kernel.train(blocks, scaled, maps, machines)
         assert (kernel.predictor(scaled, maps, machines, weights)(np.array([[1.0, np.nan, 2.0], [9.0, 9.0, 9.0]])) == 1).all()
+
+
+def test_medians_without_a_group_come_from_the_middle(spark, monkeypatch):
+    """Equal to medians on copies, for ties, gaps, groups of one row and groups of most rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        a, b = float(rng.normal()), float(rng.integers(0, 3))
+        rows.append((int(min(i % 23, 20)) if i > 150 else 20, None if i % 5 == 0 else a, None if i % 7 == 0 else b, -1e9 * a if i == 399 else None, 0.0))
+    frame = spark.createDataFrame(rows, "g int, a double, b double, c double, label_index double")
+    shared = together.Shared(frame, ["a", "b", "c"], 3, "g", list(range(21)))
+    want = shared._copied_medians()
+    monkeypatch.setattr(together.Shared, "_copied_medians", lambda self: pytest.fail("rows were copied"))
+    got = shared.layout.medians
+    assert sorted(got) == sorted(want) and all((got[o] == want[o]).all() for o in want)
+
+
+def test_models_that_leave_a_group_out_take_few_steps(table, monkeypatch):
+    """They start from the model of all rows."""
+    frame, *_, layout = table
+    blocks = fleet.pack(frame, NAMES, "label_index", "fold")
+    scaled = linear.scaling(blocks, layout, [NOBODY, 2])
+    passes, reduce = [], fleet.reduce
+    monkeypatch.setattr(fleet, "reduce", lambda *a, **k: passes.append(1) or reduce(*a, **k))
+    linear.train(blocks, scaled, [(1.0, NOBODY)])
+    alone = len(passes)
+    linear.train(blocks, scaled, [(1.0, NOBODY), (1.0, 2)])
+    assert len(passes) - 2 * alone < alone - 1

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelloom.functions import ordering
 from panelloom.models import boosting, families, fleet, forest, kernel, knn, linear, network, together, tuning
 from panelloom.models.boosting import Booster
 from panelloom.models.evaluate import MacroF1Evaluator
@@ -293,7 +294,7 @@ def test_kernel_machines_of_few_labels(spark):
 
 
 def test_medians_without_a_group_come_from_the_middle(spark, monkeypatch):
-    """Equal to medians on copies, for ties, gaps, groups of one row and groups of most rows."""
+    """Equal to medians on copies of the rows, as are those from counts, for ties, gaps and groups of one or most rows."""
     rng = np.random.default_rng(4)
     rows = []
     for i in range(400):
@@ -301,8 +302,14 @@ def test_medians_without_a_group_come_from_the_middle(spark, monkeypatch):
         rows.append((int(min(i % 23, 20)) if i > 150 else 20, None if i % 5 == 0 else a, None if i % 7 == 0 else b, -1e9 * a if i == 399 else None, 0.0))
     frame = spark.createDataFrame(rows, "g int, a double, b double, c double, label_index double")
     shared = together.Shared(frame, ["a", "b", "c"], 3, "g", list(range(21)))
-    want = shared._copied_medians()
-    monkeypatch.setattr(together.Shared, "_copied_medians", lambda self: pytest.fail("rows were copied"))
+    lists = F.array(*[F.lit(o) for o in (NOBODY, *range(21))])
+    copies = frame.select("a", "b", "c", F.explode(F.filter(lists, lambda o: o != F.col("g"))).alias("_out"))
+    want = {o: np.zeros(3) for o in (NOBODY, *range(21))}
+    for r in ordering.quantiles(copies, ["a", "b", "c"], [0.5], ["_out"]).collect():
+        want[r["_out"]]["abc".index(r["feature"])] = r["quantile"]
+    counted = shared._counted_medians()
+    assert sorted(counted) == sorted(want) and all((counted[o] == want[o]).all() for o in want)
+    monkeypatch.setattr(together.Shared, "_counted_medians", lambda self: pytest.fail("not from the middle"))
     got = shared.layout.medians
     assert sorted(got) == sorted(want) and all((got[o] == want[o]).all() for o in want)
 

@@ -325,3 +325,22 @@ def test_models_that_leave_a_group_out_take_few_steps(table, monkeypatch):
     alone = len(passes)
     linear.train(blocks, scaled, [(1.0, NOBODY), (1.0, 2)])
     assert len(passes) - 2 * alone < alone - 1
+
+
+def test_rows_alike_are_one_with_a_count(spark, table, monkeypatch):
+    """Copies of a table cost no more blocks and give the models of the copied rows."""
+    frame, x, y, g, layout = table
+    copies = frame.crossJoin(spark.range(40)).drop("id")
+    monkeypatch.setattr(fleet, "BLOCK_ROWS", 64)
+    once, often = (fleet.pack(f, NAMES, "label_index", "fold") for f in (frame, copies))
+    assert often.tasks == once.tasks and sum(fleet.class_counts(often, 3, 3)[NOBODY]) == 12_000
+    cuts = boosting.split_values(frame, NAMES)
+    settings = [Booster(2, 0.3), Booster(2, 0.3, 1)]
+    got = [boosting.train(b, layout, cuts, settings, 3, (3,)) for b in (once, often)]
+    assert np.allclose(got[0][0].scores(x, 1, 3), got[1][0].scores(x, 1, 3), atol=1e-5)
+    assert (40 * got[0][1][3][1] == got[1][1][3][1]).all()
+    scaled = [linear.scaling(b, layout, [NOBODY]) for b in (once, often)]
+    assert np.allclose(scaled[0].std[NOBODY], scaled[1].std[NOBODY])
+    # The driver adds few numbers, a shuffle adds many: the sums are the same.
+    sums = [fleet.reduce(often, 3, lambda b: iter([(int(b["y"][0]), b["n"] @ np.nan_to_num(b["x"]))]), None, n) for n in (9, None)]
+    assert sums[0].keys() == sums[1].keys() and all(np.allclose(sums[0][k], sums[1][k]) for k in sums[0])

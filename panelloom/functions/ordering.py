@@ -184,27 +184,51 @@ def quantile_columns(long: DataFrame, names: dict[float, str], by: Sequence[str]
     )
 
 
-def average_ranks(histogram: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Average rank of each distinct value from (keys..., value, n).
+def ranked(histogram: DataFrame, keys: Sequence[str], value: str = "value", counts: Sequence[str] = ("n",)) -> DataFrame:
+    """A histogram (keys..., value, counts...) with ``rank_c`` and ``total_c`` for each count c.
 
     Ranks count from one and ties share their mean, so a value with ``b``
     entries ahead of it and ``n`` of its own has rank ``b + (n + 1) / 2``.
+    Only cells of more than 2 ** INNER_BITS values are divided again.
     """
     cells = histogram.withColumn("cell", cell_of(F.col(value)))
-    starts = _cell_starts(cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n")), keys)
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    known = cells.groupBy(*keys, "cell").agg(F.count("*").alias("_kinds"), *[F.sum(c).alias(f"_in_{c}") for c in counts])
+    known = known.select(
+        *keys,
+        "cell",
+        (F.col("_kinds") > (1 << INNER_BITS)).alias("_crowded"),
+        *[F.coalesce(F.sum(f"_in_{c}").over(ahead), F.lit(0)).alias(f"_before_{c}") for c in counts],
+        *[F.sum(f"_in_{c}").over(whole).alias(f"total_{c}") for c in counts],
+    )
+    inner = F.when(F.col("_crowded"), inner_of(F.col(value))).otherwise(F.lit(0))
+    placed = cells.join(known, [*keys, "cell"]).withColumn("_inner", inner)
+    part = Window.partitionBy(*keys, "cell").orderBy("_inner").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.where("_crowded")
+        .groupBy(*keys, "cell", "_inner")
+        .agg(*[F.sum(c).alias(f"_in_{c}") for c in counts])
+        .select(*keys, "cell", "_inner", *[F.sum(f"_in_{c}").over(part).alias(f"_start_{c}") for c in counts])
+    )
+    place = Window.partitionBy(*keys, "cell", "_inner").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+
+    def rank(c: str) -> Column:
+        return F.col(f"_before_{c}") + F.coalesce(f"_start_{c}", F.lit(0)) + F.coalesce(f"_place_{c}", F.lit(0)) + (F.col(c) + 1) / 2
+
     return (
-        _within_cells(cells, keys, value)
-        .join(starts, [*keys, "cell"])
-        .select(
-            *keys,
-            value,
-            "n",
-            (F.col("before_cell") + F.col("before") + (F.col("n") + 1) / 2).alias("avg_rank"),
-            "total",
-        )
+        placed.withColumns({f"_place_{c}": F.sum(c).over(place) for c in counts})
+        .join(starts, [*keys, "cell", "_inner"], "left")
+        .select(*histogram.columns, *[rank(c).alias(f"rank_{c}") for c in counts], *[f"total_{c}" for c in counts])
     )
 
 
+def average_ranks(histogram: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Average rank of each distinct value from (keys..., value, n)."""
+    found = ranked(histogram.select(*keys, value, "n"), keys, value)
+    return found.select(*keys, value, "n", F.col("rank_n").alias("avg_rank"), F.col("total_n").alias("total"))
+
+
 def hash_order(*parts: Column) -> Column:
     """Text whose order is a reproducible shuffle of the given identity."""
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))

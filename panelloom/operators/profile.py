@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import ordering, scalars
 from panelloom.functions.scalars import percent
+from panelloom.session import cut_lineage
 from panelloom.spec import LABELS, PanelSpec
 
 
@@ -211,43 +212,47 @@ def spearman(
     Values are rounded to ``digits`` first: means and deviations that tie on
     paper differ in their last bits by the order of addition.
 
-    Equal pairs are counted first.  Ranks are looked up per distinct value, so
-    an outsized value only widens one side of a join whose other side has one
-    row per value, a shape the skew join can split.
+    Equal rows are counted first. Ranks of the target are worked out for all features at once, over the rows
+    that have the feature, and looked up per distinct value: an outsized value
+    only widens one side of a join whose other side has one row per value, a
+    shape the skew join can split. A feature then needs, per distinct value, its
+    rows and the sum of their target ranks, which combine map-side. The rows are
+    kept once, since means added up again may differ in their last bits.
     """
     def even(name: str) -> Column:
         value = F.col(name).cast("double")
         return value if digits is None else F.round(value, digits)
 
-    pairs = (
-        panel.select(even(target).alias("y"), *[even(f).alias(f) for f in features])
-        .where(F.col("y").isNotNull())
-        .unpivot(["y"], list(features), "feature", "x")
+    numbers = {f: f"n{i}" for i, f in enumerate(features)}
+    wide = panel.select(even(target).alias("y"), *[even(f).alias(f"x{i}") for i, f in enumerate(features)])
+    wide = cut_lineage(wide.where(F.col("y").isNotNull()).groupBy(*wide.columns).agg(F.count("*").alias("m")))
+    having = [F.when(F.col(f"x{i}").isNotNull(), F.col("m")).otherwise(0) for i in range(len(features))]
+    values = wide.groupBy("y").agg(*[F.sum(h).alias(n) for h, n in zip(having, numbers.values())])
+    targets = ordering.ranked(values, [], "y", list(numbers.values()))
+    targets = targets.select(
+        "y",
+        *numbers.values(),
+        *[(F.col(f"rank_{n}") - (F.col(f"total_{n}") + 1) / 2).alias(f"r{i}") for i, n in enumerate(numbers.values())],
+    )
+    sides = [F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("x"), F.col("m"), (F.col("m") * F.col(f"r{i}")).alias("ry")) for i, f in enumerate(features)]
+    sums = (
+        wide.join(targets.drop(*numbers.values()), "y")
+        .select(F.explode(F.array(*sides)).alias("_s"))
+        .select("_s.*")
         .where(F.col("x").isNotNull())
-        .groupBy("feature", "x", "y")
-        .agg(F.count("*").alias("n"))
+        .groupBy("feature", "x")
+        .agg(F.sum("m").alias("n"), F.sum("ry").alias("ry"))
     )
-
-    def ranks(side: str) -> DataFrame:
-        values = pairs.groupBy("feature", side).agg(F.sum("n").alias("n"))
-        ranked = ordering.average_ranks(values, ["feature"], side)
-        centred = F.col("avg_rank") - (F.col("total") + 1) / 2
-        return ranked.select("feature", side, centred.alias(f"r{side}"))
-
-    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
+    n, rx = F.col("n"), F.col("rank_n") - (F.col("total_n") + 1) / 2
     found = (
-        pairs.join(ranks("x"), ["feature", "x"])
-        .join(ranks("y"), ["feature", "y"])
+        ordering.ranked(sums, ["feature"], "x")
         .groupBy("feature")
-        .agg(
-            F.sum("n").alias("pairs"),
-            F.sum(n * rx * ry).alias("_xy"),
-            F.sum(n * rx * rx).alias("_xx"),
-            F.sum(n * ry * ry).alias("_yy"),
-        )
+        .agg(F.sum("n").alias("pairs"), F.sum(F.col("ry") * rx).alias("_xy"), F.sum(n * rx * rx).alias("_xx"))
     )
+    squares = targets.agg(*[F.sum(F.col(m) * F.col(f"r{i}") * F.col(f"r{i}")).alias(f) for i, (f, m) in enumerate(numbers.items())])
+    squares = squares.unpivot([], list(features), "feature", "_yy")
     rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
-    return found.select("feature", "pairs", F.when(F.col("pairs") >= min_pairs, rho).alias("rho"))
+    return found.join(squares, "feature").select("feature", "pairs", F.when(F.col("pairs") >= min_pairs, rho).alias("rho"))
 
 
 def top_by_magnitude(correlations: DataFrame, k: int, largest: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -400,6 +401,28 @@ def test_ranks_tie_where_values_tie_on_paper(spark):
     assert rho(frame) == rho(paper, digits=None) != rho(frame, digits=None)
 
 
+@pytest.mark.parametrize("bits", [20, 2])
+def test_rank_correlation_ranks_the_target_once(spark, monkeypatch, bits):
+    """One row per distinct target, whatever the features and copies; gaps differ by feature; crowded cells are divided."""
+    rng = np.random.default_rng(6)
+    y = np.round(rng.normal(size=300), 2)
+    x = np.stack([y + rng.normal(size=300), rng.integers(0, 3, 300), -y + rng.normal(size=300), np.full(300, np.nan)], 1)
+    x[rng.random(300) < 0.4, 2] = np.nan
+    x[:, 0] = np.where(rng.random(300) < 0.3, 1.5, np.round(x[:, 0], 3))
+    table = pd.DataFrame(x, columns=list("abcd")).assign(y=y)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in table.to_numpy()] + [(1.0, 1.0, 1.0, 1.0, None)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double, y double").crossJoin(spark.range(20)).drop("id")
+    sizes, ranked = [], ordering.ranked
+    monkeypatch.setattr(ordering, "ranked", lambda h, *a: sizes.append(h.count()) or ranked(h, *a))
+    monkeypatch.setattr(ordering, "INNER_BITS", bits)
+    got = {r["feature"]: (r["pairs"], r["rho"]) for r in profile.spearman(frame, "y", list("abcd")).collect()}
+    assert sizes == [table["y"].nunique(), sum(table[f].nunique() for f in "abcd")]
+    assert sorted(got) == ["a", "b", "c"]
+    for f, (pairs, rho) in got.items():
+        both = table[[f, "y"]].dropna()
+        assert pairs == 20 * len(both) and rho == pytest.approx(both[f].rank().corr(both["y"].rank()), abs=1e-12)
+
+
 def test_equal_vectors_are_searched_once(spark, monkeypatch):
     """Only the first k of equal training rows, and one of equal queries, are compared; all queries get their rows."""
     left = spark.createDataFrame([(i, [0.0, 1.0] if i < 500 else [float(i), 0.0], i % 3) for i in range(520)], "id int, v array<double>, label int")

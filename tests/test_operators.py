@@ -458,3 +458,16 @@ def test_draws_are_dealt_out_before_they_are_drawn(spark):
     frame = spark.createDataFrame([(str(i), "Low", "High") for i in range(20)], "s string, label string, prediction string")
     plan = robustness.bootstrap_draws(frame, "s", draws=50)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("summary", [False, True])
+def test_bootstrap_picks_are_not_broadcast(spark, summary):
+    """Their number is subjects times draws, which Spark's estimate leaves out."""
+    frame = spark.createDataFrame([(str(i), "Low", "Low") for i in range(20)], "s string, label string, prediction string")
+    frame = robustness.bootstrap_draws(frame, "s", draws=50)
+    if summary:
+        frame = robustness.bootstrap_summary(frame, spark.createDataFrame([(1.0,)], "macro_f1 double"))
+    assert len(frame.collect()) == (1 if summary else 50)
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [line for line in lines if "_pick" in line and "Join" in line]
+    assert joins and all("BuildRight" in line for line in joins)

@@ -314,6 +314,26 @@ def test_medians_without_a_group_come_from_the_middle(spark, monkeypatch):
     assert sorted(got) == sorted(want) and all((got[o] == want[o]).all() for o in want)
 
 
+def test_many_subjects_are_left_out_in_one_fleet(spark, monkeypatch):
+    """Rows are packed and medians found once, not once per 256 subjects."""
+    rows = [(f"s{i % 300}", f"d{i}", ("Low", "Medium", "High")[i * i % 3], float(i % 7), float(i % 11)) for i in range(900)]
+    panel = spark.createDataFrame(rows, "subject_id string, day string, label string, a double, b double")
+    packed, pack = [], fleet.pack
+    monkeypatch.setattr(fleet, "pack", lambda *args: packed.append(1) or pack(*args))
+    family = families.FAMILIES["logistic_regression"]
+    scores = tuning.leave_one_subject_out(panel, SPEC, ["a", "b"], family, {"C": 1.0, "max_iter": 2})
+    assert scores.count() == 300 and len(packed) == 1
+
+
+def test_ends_estimated_wrongly_are_noticed(spark, monkeypatch):
+    frame = spark.createDataFrame([(i % 50, float(i), 0.0) for i in range(500)], "g int, a double, label_index double")
+    shared = together.Shared(frame, ["a"], 3, "g", list(range(50)))
+    assert shared._near_medians() is not None
+    for wrong in (0.0, 300.0):
+        monkeypatch.setattr(F, "percentile_approx", lambda *_: F.array(F.lit(wrong), F.lit(wrong + 9)))
+        assert shared._near_medians() is None
+
+
 def test_models_that_leave_a_group_out_take_few_steps(table, monkeypatch):
     """They start from the model of all rows."""
     frame, *_, layout = table

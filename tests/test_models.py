@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelloom.models import families, tuning
 from panelloom.models.evaluate import MacroF1Evaluator
 from panelloom.operators.validate import require_temporal_design
+from panelloom.plans.catalog import learning
 from panelloom.spec import WEARABLE, PanelSpec, cumulative_conditions
 
 SPEC = PanelSpec(groups={"g": ("x", "y")})
@@ -71,3 +72,13 @@ def test_incomplete_temporal_design_is_refused(spark):
     frame = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     with pytest.raises(ValueError, match="incomplete"):
         require_temporal_design(frame, {"base": ["x", "y"]}, SPEC)
+
+
+def test_model_comparison_takes_every_family(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(learning.panels, "split_panel", lambda *_: None)
+    monkeypatch.setattr(learning, "_parts", lambda _: (None, None))
+    monkeypatch.setattr(tuning, "compare_models", lambda *args: seen.update(args[4]))
+    monkeypatch.setattr(tuning, "best_against_baseline", lambda _: None)
+    learning.model_comparison(None, None)
+    assert seen == families.FAMILIES and len(seen) == 7

@@ -70,6 +70,17 @@ def plain_booster(x, y, apply_to, depth, rate, rounds, cuts):
     return there
 
 
+@pytest.mark.parametrize("limit", [0, boosting.LIMIT])
+def test_boosters_are_trained_apart_up_to_a_limit(table, monkeypatch, limit):
+    """All rounds in one job, or with a pass per level of each; either way they equal plain ones."""
+    frame, *_ = table
+    monkeypatch.setattr(boosting, "LIMIT", limit)
+    rounds, number = [], boosting._round
+    monkeypatch.setattr(boosting, "_round", lambda *args: rounds.append(1) or number(*args))
+    test_boosters_equal_plain_ones(table, monkeypatch, 64)
+    assert len(rounds) == (0 if limit else 8)
+
+
 @pytest.mark.parametrize("block_rows", [64, 4096])
 def test_boosters_equal_plain_ones(table, monkeypatch, block_rows):
     """In several tasks and in one."""

@@ -24,6 +24,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ QUERY_BLOCK = 4_096
 CANDIDATE_BLOCK = 16_384
 STRIP = 256  # candidates looked at together
 PAIRS = 1 << 15  # pairs of vectors laid side by side, which bounds a task's memory
+DENSE = 1 / 16  # of a strip's pairs; if more are left, one matrix product for all costs less
 SEGMENTS = (4, 16)
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
@@ -62,7 +64,9 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, x: np.ndarray, asked: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Inner products of pairs of rows, a bounded number of pairs at a time."""
+    """Inner products of pairs of rows, by a matrix product of all rows or a bounded number of pairs at a time."""
+    if len(asked) > DENSE * len(q) * len(x):
+        return (q @ x.T)[asked, seen]
     out = np.empty(len(asked))
     for at in range(0, len(asked), PAIRS):
         part = slice(at, at + PAIRS)
@@ -83,15 +87,17 @@ def best(query_ids, q, ids, x, k: int):
         (cq, cx), finer = levels[0], levels[1:]
         asked, seen = np.nonzero(cq @ cx[at:end].T + slack >= reach[:, None])
         for fq, fx in finer:
-            keep = _products(fq, fx, asked, at + seen) + slack >= reach[asked]
+            keep = _products(fq, fx[at:end], asked, seen) + slack >= reach[asked]
             asked, seen = asked[keep], seen[keep]
+        if exact:
+            score = _products(q, x[at:end], asked, seen)
+            near = score >= reach[asked]
+            asked, seen, score = asked[near], seen[near], score[near]
         seen = seen + at
         other = query_ids[asked] != ids[seen]
         asked, seen = asked[other], seen[other]
         if exact:
-            score = _products(q, x, asked, seen)
-            near = score >= reach[asked]
-            asked, seen, score = asked[near], seen[near], score[near]
+            score = score[other]
         else:
             score = np.array([sum(int(a) * int(b) for a, b in zip(q[i], x[j])) for i, j in zip(asked, seen)], object)
         asked, seen, score = (np.concatenate(pair) for pair in zip(top, (asked, seen, score)))
@@ -115,7 +121,7 @@ def _blocks(k: int):
 
         def by_length(table):
             table = table.combine_chunks()
-            lengths = np.array([len(v) for v in table["v"]], np.int64) if table.num_rows else np.zeros(0, np.int64)
+            lengths = pc.list_value_length(table["v"]).to_numpy().astype(np.int64)
             ids = table["vec_id"].to_numpy()
             flat = table["v"].combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0)
             ends = np.cumsum(lengths)

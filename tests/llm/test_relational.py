@@ -94,6 +94,22 @@ def test_bounds_hold_and_prune():
     assert (bound < np.sort(x @ x.T, axis=1)[:, -5:-4]).mean() > 0.5
 
 
+@pytest.mark.parametrize("dense", [0, 2])
+def test_matrix_products_change_no_result(monkeypatch, dense):
+    """Scores of crowded strips come from one product of all rows; the best are those of every pair."""
+    monkeypatch.setattr(topk, "DENSE", dense)
+    if not dense:
+        monkeypatch.setattr(topk.np, "einsum", lambda *_: pytest.fail("pair by pair"))
+    rng = np.random.default_rng(5)
+    x, ids = rng.integers(-200, 200, (700, 20)).astype(float), rng.permutation(700)
+    x[300:340] = x[0]
+    query, found, score = topk.best(ids[:30], x[:30], ids, x, 5)
+    for i in range(30):
+        every = sorted((-int(x[i] @ x[j]), int(ids[j])) for j in range(700) if j != i)[:5]
+        own = query == ids[i]
+        assert [(-s, int(c)) for c, s in zip(found[own], np.array(score)[own])] == every
+
+
 def test_scores_beyond_a_double():
     q = np.array([[2.0**40 + 1, 3.0]])
     ids, found, score = topk.best(np.array([0]), q, np.array([1, 2]), np.array([[2.0**20 + 1, 1.0], [2.0**60, 0.0]]), 5)

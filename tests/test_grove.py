@@ -140,3 +140,20 @@ def test_odd_tables(spark):
     alone = panel.withColumn("label", F.when(F.col("subject_id") == "s0", "High").otherwise("Low")).withColumn("c", F.lit(None).cast("double"))
     scores = {r["subject_id"]: r["macro_f1"] for r in tuning.leave_one_subject_out(alone, SPEC, list(NAMES), family, SETTING).collect()}
     assert len(scores) == 5 and scores["s0"] == 0.0
+
+
+def test_draws_of_all_inputs_are_counted_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes, y, n = rng.integers(0, grove.BINS + 1, (4, 50)), rng.integers(0, 3, 50), rng.integers(1, 4, 60)
+    rows = grove.Rows(codes, y, *[np.zeros(50, np.int64)] * 2, *[np.zeros(1)] * 4)
+    inputs, node, at, key = np.array([[0, 2], [1, 3], [0, 1]]), rng.integers(0, 3, 60), rng.integers(0, 50, 60), rng.integers(0, 5, 60)
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(grove.np, "bincount", lambda *args, **more: calls.append(1) or bincount(*args, **more))
+    for by, keys in ((None, 3), (key, 5)):
+        got = grove._histogram(grove.Plan(4, 3, 1, 5), rows, inputs, node, at, n, by, 0 if by is None else keys)
+        want = np.zeros((keys, 2, grove.BINS + 1, 3))
+        for i in range(60):
+            for j in range(2):
+                want[(node if by is None else by)[i], j, codes[inputs[node[i], j], at[i]], y[at[i]]] += n[i]
+        assert got.shape == want.shape and (got == want).all()
+    assert len(calls) == 2
